@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from postledger.functions.links import url_key
 from postledger.functions.text import strip
-from postledger.shared import cut
+from postledger.shared import cut, ship_with_tasks
 
 # Rows left over after some rounds that one task may finish in order. The rows
 # are three short columns, so this is a few megabytes.
 TAIL_ROWS = 50_000
 
+ship_with_tasks(__name__)
+
 
 def first_by_key(rows: DataFrame, keys: list[str], order: str = "pos") -> DataFrame:
     """The first row per key in arrival order.

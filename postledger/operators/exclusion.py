@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postledger.functions.text import match_key, strip
-from postledger.shared import is_small, lookup_join
+from postledger.shared import is_small
 
 # Fixed value: the keyword that matches as a word, with its two longer forms.
 WORD_KEYWORD = "intern"
@@ -56,17 +56,16 @@ def exclude_companies_by_table(
         return postings.where(~_any([key.contains(F.lit(fragment)) for fragment in listed]))
 
     companies = postings.select(F.col(column).alias("_name")).distinct().withColumn("_key", match_key(F.col("_name")))
-    # One array of distinct lengths; a fragment longer than any key cannot occur.
     lengths = keys.agg(F.collect_set(F.length("fragment")).alias("lengths")).scalar()
     pieces = (
-        companies.withColumn("_size", F.explode(F.filter(lengths, lambda n: n <= F.length("_key"))))
+        companies.withColumn("_size", F.explode(lengths))
+        .where(F.col("_size") <= F.length("_key"))
         .withColumn("_start", F.explode(F.sequence(F.lit(1), F.length("_key") - F.col("_size") + 1)))
         .select("_name", F.substring(F.col("_key"), F.col("_start"), F.col("_size")).alias("fragment"))
         .distinct()
     )
-    excluded = pieces.join(keys, "fragment", "left_semi").select("_name").distinct().withColumn("_out", F.lit(True))
-    named = postings.withColumn("_name", F.col(column))
-    return lookup_join(named, excluded, ["_name"]).where(F.col("_out").isNull()).select(*postings.columns)
+    excluded = pieces.join(keys, "fragment", "left_semi").select("_name").distinct()
+    return postings.join(excluded, postings[column] == excluded["_name"], "left_anti")
 
 
 def title_excluded(title: Column, keywords: list[str]) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from postledger.functions.text import display_company
 from postledger.operators.ids import arrival_ids
 from postledger.schemas import COMPANIES, JOBS, JOB_DEFAULTS, conform
-from postledger.shared import cut, lookup_join
+from postledger.shared import cut
 
 KEY = ["source", "source_id"]
 
@@ -160,9 +160,8 @@ def upsert_postings(jobs: DataFrame, companies: DataFrame, batch: DataFrame) ->
     jobs = conform(jobs, JOBS, JOB_DEFAULTS)
     grown = grow_companies(companies, batch)
     fold = fold_sightings(batch.withColumn("company", display_company(F.col("company"))))
-    named = lookup_join(
-        fold, grown.select(F.col("name").alias("company"), F.col("id").alias("company_id")), ["company"]
-    ).drop("company")
+    numbers = grown.select(F.col("name").alias("company"), F.col("id").alias("company_id"))
+    named = fold.join(numbers, "company", "left").drop("company")
     merged = cut(upsert_folds(jobs, named), "jobs")
     start = jobs.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     fresh = arrival_ids(merged.where("id is null").drop("id"), ["first_seen_at", "last_pos"], start)

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, functions as F
 from postledger.functions.links import INDEED, LINKEDIN, site_label, site_link
 from postledger.functions.text import nocase, status_view
 from postledger.operators.scans import is_new
-from postledger.shared import lookup_join
 
 # Export columns and their headings; default row limits.
 EXPORT_COLUMNS = {
@@ -137,7 +136,7 @@ def report_rows(listed: DataFrame, new_rows: DataFrame) -> DataFrame:
     A row is marked new if its posting id is among the new ones, of any source.
     """
     ids = new_rows.select("source_id").distinct().withColumn("_new", F.lit(True))
-    marked = lookup_join(listed, ids, ["source_id"])
+    marked = listed.join(ids, "source_id", "left")
     blank = {name: F.coalesce(F.col(name), F.lit("")).alias(name) for name in EXPORT_COLUMNS}
     return marked.select(
         *blank.values(),

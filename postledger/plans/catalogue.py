@@ -122,9 +122,7 @@ def exclude_titles(spark, sf):
 
 def _merge(spark, sf, easy=False, **kwargs):
     rules = merge.MergeRules(MERGE_COMPANIES, MERGE_TITLES, easy_apply_only=easy, **kwargs)
-    return merge.merge_rows(
-        fx.landed(spark, sf), fx.stored_landing(spark, sf), fx.stored_keys(spark, sf), rules, tail_rows=0
-    )
+    return merge.merge_rows(fx.landed(spark, sf), fx.stored_landing(spark, sf), fx.stored_keys(spark, sf), rules)
 
 
 def merge_decisions(spark, sf):
@@ -157,7 +155,7 @@ def dedup_two_keys_with_tail(spark, sf):
 
 def import_exact_url(spark, sf):
     rules = merge.MergeRules(MERGE_COMPANIES, require_id=False, exact_url=True)
-    merged = merge.merge_rows(fx.landed(spark, sf), fx.stored_landing(spark, sf), None, rules, tail_rows=0)
+    merged = merge.merge_rows(fx.landed(spark, sf), fx.stored_landing(spark, sf), None, rules)
     return merged.decisions.select("pos", "source_id", "url", "decision")
 
 
@@ -303,10 +301,8 @@ def scan_failures(spark, sf):
 
 
 def _ledger(spark, sf):
-    done = ledger.upsert_postings(
-        state.empty_table(spark, "jobs"), state.empty_table(spark, "companies"), fx.full_sightings(spark, sf)
-    )
-    return done.jobs, done.companies
+    """Jobs and companies as one fold, numbered by event and by user group."""
+    return fx.folded_jobs(spark, sf), fx.folded_companies(spark, sf)
 
 
 def new_in_latest_scan(spark, sf):
@@ -337,7 +333,7 @@ def ranked_jobs_filtered(spark, sf):
 
 def report_flags(spark, sf):
     jobs, companies = _ledger(spark, sf)
-    jobs = cut(jobs, "jobs").withColumn("status", F.when(F.col("match_score") > 40, "Applied").otherwise("new"))
+    jobs = jobs.withColumn("status", F.when(F.col("match_score") > 40, "Applied").otherwise("new"))
     log = fx.scan_days(spark, sf)
     listed = reports.ranked_jobs(jobs, companies, log, limit=reports.EXPORT_LIMIT)
     fresh = reports.new_jobs(jobs, companies, log, limit=reports.EXPORT_LIMIT)
@@ -418,9 +414,10 @@ def constraint_violations(spark, sf):
 # --- sources -------------------------------------------------------------------------
 
 
-def _posting_columns(df: DataFrame) -> DataFrame:
+def _posting_columns(df: DataFrame, *more) -> DataFrame:
+    digest = F.md5("description").alias("description_digest")
     return df.select(
-        "source", "source_id", "title", "company", "location", "url", F.md5("description").alias("description_digest"), "posted_at", "remote"
+        "source", "source_id", "title", "company", "location", "url", digest, "posted_at", "remote", *more
     )
 
 
@@ -454,7 +451,8 @@ def json_source(spark, sf):
     rows.select(F.concat(F.lit('{"count": 1, "jobs": ['), item, F.lit("]}")).alias("value")).write.text(path)
     documents = payloads.read_documents(spark, [path], per_line=True)
     read = payloads.json_postings(documents, "api")
-    return _posting_columns(read).withColumn("raw_tags", F.get_json_object(read["raw"], "$.tags[0]"))
+    tag = F.get_json_object("raw", "$.tags[0]")
+    return _posting_columns(read, tag.alias("raw_tag"))
 
 
 def feed_source(spark, sf):

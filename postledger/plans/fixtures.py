@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from postledger.functions.text import blank_to_null
+from postledger.operators.ledger import fold_sightings
+from postledger.schemas import JOBS, conform
 from postledger.sources.pages import LAYOUTS
 
 # Fixed values of the fixtures.
@@ -143,6 +145,24 @@ def full_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def folded_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sightings as a jobs table; a job has the number of its last event."""
+    rows = fold_sightings(full_sightings(spark, sf_dir))
+    return conform(
+        rows.withColumn("id", F.col("last_pos"))
+        .withColumn("company_id", F.regexp_extract("company", r"(\d+)", 1))
+        .withColumn("status", F.lit("new")),
+        JOBS,
+    )
+
+
+def folded_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    group = F.col("user_id") % 37
+    return table(spark, sf_dir, "events").select(
+        group.alias("id"), F.concat(F.lit("Company "), group.cast("string")).alias("name")
+    ).distinct()
+
+
 def scan_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One scan per source and day; days divisible by 7 failed."""
     day = F.to_date("ts")

@@ -112,7 +112,7 @@ SITE = """case source when 'indeed' then 'Indeed' when 'job-ch' then 'job.ch' el
 
 LEDGER = f"""{SIGHTINGS}, {FOLD}, {SCAN_DAYS},
 jobs as (select *, {SITE}, 'new' as status,
-                row_number() over (order by first_seen_at, last_pos) as id from fold),
+                last_pos as id from fold),
 since as (select max(started_at) as s from scan_days where error is null),
 since_of as (select source, max(started_at) as s from scan_days where error is null group by source)"""
 
@@ -138,10 +138,10 @@ CV = "cv as (select arg_min(text, item_id) as body from benchmark)"
 def _top(source: str, who: str) -> str:
     """Ranked tokens per text: most frequent first, then earliest."""
     return f"""words as (
-  select {who} as who, part, at, tok from (
-    select {who}, part, unnest(toks) as tok, generate_subscripts(toks, 1) as at
+  select {who} as who, part, place, tok from (
+    select {who}, part, unnest(toks) as tok, generate_subscripts(toks, 1) as place
     from (select *, {tokens('body')} as toks from ({source})))),
-counted as (select who, tok, count(*) as n, min(part * 10000000 + at) as p from words group by who, tok),
+counted as (select who, tok, count(*) as n, min(part * 10000000 + place) as p from words group by who, tok),
 top as (select * from (select *, row_number() over (partition by who order by n desc, p) as r from counted) where r <= 60)"""
 
 
@@ -316,14 +316,14 @@ shaped as (select page_key, slot, job, note, company, location,
                   trim(headline || ' ' || company || ' ' || location || ' ' || note) as description,
                   case when headline <> '' then headline else company end as title, {url} as url
            from (select * replace (case when headline = '' then '' else headline end as headline) from cards)),
-records as (select page_key, cast(slot as integer) as at,
+records as (select page_key, cast(slot as integer) as "at",
   case when slot = 8 then '{prefix}' || {_text_hash("concat_ws('|', title, company, url)")} else '{prefix}' || job end as source_id,
   title, company, location, url, description, 'last-24h' as posted_at,
   case when {remote} or regexp_matches(concat_ws(' ', title, location, description), '(?i)\\b(?:{pattern})\\b') then 'true' else '' end as remote,
   case when regexp_matches(description, '(?i)\\beasy\\s+apply\\b') then 'true' else '' end as easy_apply from shaped),
-found as (select page_key, source_id, min(at) as at, arg_max(title, at) as title, arg_max(company, at) as company,
-  arg_max(location, at) as location, arg_max(url, at) as url, arg_max(description, at) as description,
-  max(posted_at) as posted_at, arg_max(remote, at) as remote, arg_max(easy_apply, at) as easy_apply
+found as (select page_key, source_id, min("at") as "at", arg_max(title, "at") as title, arg_max(company, "at") as company,
+  arg_max(location, "at") as location, arg_max(url, "at") as url, arg_max(description, "at") as description,
+  max(posted_at) as posted_at, arg_max(remote, "at") as remote, arg_max(easy_apply, "at") as easy_apply
   from records group by page_key, source_id)"""
 
 
@@ -343,28 +343,28 @@ _VISIBLE = clean(
 
 REPLAYED = """jobs as (select s_suppkey as id, cast(s_nationkey as bigint) as company_id, s_name as title, 'new' as status from supplier),
 old as (select s_suppkey as job_id, cast(0 as bigint) as company_id, 'old position' as position, 'applied' as status,
-               timestamp '2023-06-01 08:00:00' as at, 'old' as notes from supplier where s_acctbal > 5000),
+               timestamp '2023-06-01 08:00:00' as moment, 'old' as notes from supplier where s_acctbal > 5000),
 actions as (select user_id as job_id, case when event_type = 'click' then 'apply' else 'set_status' end as via,
   case event_type when 'purchase' then 'applied' when 'error' then 'discarded' when 'click' then 'interview' else 'new' end as status,
-  case when event_type <> 'purchase' then props end as notes, ts as at, event_id as pos
+  case when event_type <> 'purchase' then props end as notes, ts as moment, event_id as pos
   from events where event_type <> 'view'),
 marked as (select *, via = 'set_status' and status <> 'applied' as is_reset from actions where job_id in (select id from jobs)),
 islands as (select *, sum(case when is_reset then 1 else 0 end) over w as island,
-                   row_number() over (partition by job_id order by at desc, pos desc) as back
-            from marked window w as (partition by job_id order by at, pos rows between unbounded preceding and current row)),
+                   row_number() over (partition by job_id order by moment desc, pos desc) as back
+            from marked window w as (partition by job_id order by moment, pos rows between unbounded preceding and current row)),
 ends as (select job_id, max(island) as island, max(status) filter (where back = 1) as final_status from islands group by job_id),
-recs as (select i.job_id, min(i.at) as first_at, max(i.at) as last_at,
-                arg_max(i.status, (i.at, i.pos)) as status, max(i.notes) filter (where last_rec) as notes
-         from (select *, row_number() over (partition by job_id, island, is_reset order by at desc, pos desc) = 1 as last_rec from islands) i
+recs as (select i.job_id, min(i.moment) as first_at, max(i.moment) as last_at,
+                arg_max(i.status, (i.moment, i.pos)) as status, max(i.notes) filter (where last_rec) as notes
+         from (select *, row_number() over (partition by job_id, island, is_reset order by moment desc, pos desc) = 1 as last_rec from islands) i
          join ends e on e.job_id = i.job_id and e.island = i.island where not i.is_reset group by i.job_id),
 apps as (select coalesce(o.job_id, r.job_id) as job_id,
   case when keep then o.company_id else j.company_id end as company_id,
   case when keep then o.position else j.title end as position,
   case when r.job_id is not null then r.status else o.status end as status,
-  case when keep then o.at else r.first_at end as applied_at,
+  case when keep then o.moment else r.first_at end as applied_at,
   case when r.job_id is not null then r.notes else o.notes end as notes,
-  case when keep then o.at else r.first_at end as created_at,
-  case when r.job_id is not null then r.last_at else o.at end as updated_at
+  case when keep then o.moment else r.first_at end as created_at,
+  case when r.job_id is not null then r.last_at else o.moment end as updated_at
   from (select j.*, o.job_id is not null and coalesce(e.island, 0) = 0 as keep from jobs j
         left join old o on o.job_id = j.id left join ends e on e.job_id = j.id) j
   left join old o on o.job_id = j.id left join recs r on r.job_id = j.id
@@ -529,14 +529,14 @@ from rows where not ({ANY_TITLE}) and not ({OUT_C})""",
   case when pos % 3 <> 0 then cast(pos as varchar) else url || '#' || cast(pos as varchar) end as source_id,
   coalesce(nullif(title, ''), 'Untitled') as title, coalesce(nullif(company, ''), 'Unknown') as company,
   case when location <> 'fr' then location else 'Remote' end as location, url || '#' || cast(pos as varchar) as url,
-  md5(description) as description_digest, '2024-01-01' as posted_at, true as remote, 'b' as raw_tags from postings""",
+  md5(description) as description_digest, '2024-01-01' as posted_at, true as remote, 'b' as raw_tag from postings""",
     "feed_source": f"""with {POSTINGS}, r as (select *, location = 'en' as atom,
   {strip(r"regexp_replace(coalesce(title, ''), '[\x00-\x08\x0b\x0c\x0e-\x1f\x{fffe}\x{ffff}]', '', 'g')")} as t from postings)
 select 'feed' as source, case when atom or pos % 3 = 0 then source_id else url end as source_id, coalesce(nullif(t, ''), 'Untitled') as title,
   case when atom then 'Nobody' else coalesce(nullif(company, ''), 'ignored?') end as company, url,
   md5(case when atom then 's' else location end) as description_digest, case when atom then '2024-01-01' end as posted_at from r""",
-    "tab_results": f"""with {POSTINGS} select pos as "window", 0 as tab, at, source_id, coalesce(title, '') as title, url
-from postings, (values (0), (1)) v(at)""",
+    "tab_results": f"""with {POSTINGS} select pos as "window", 0 as tab, "at", source_id, coalesce(title, '') as title, url
+from postings, (values (0), (1)) v("at")""",
     "tab_errors": f"""with {POSTINGS} select pos as "window", 2 as tab, case when location = 'es' then 'oops ' || source_id else source_id end as message from postings""",
     "tab_summary": """select count(*) * 2 as tabs, count(*) as failed, count(*) filter (where lang = 'fr') as blocked, count(*) * 2 as rows from documents""",
     "page_records_numbered": f"with {_page_cards('linkedin')} select * from found",

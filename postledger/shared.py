@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # A key is heavy if it holds more than 1/HEAVY_SHARE of all rows. There can be
@@ -16,6 +18,14 @@ HEAVY_SHARE = 1000
 SMALL_ROWS = 20_000
 
 
+def ship_with_tasks(module: str) -> None:
+    """Send a module's functions along with the tasks that use them.
+
+    Python workers then need not have this package installed.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see, as named by ``spark.checkpoint.dir``.
 
@@ -69,7 +79,10 @@ def lookup_join(
     """Join rows to a table with at most one row per key, whatever the key skew.
 
     Rows of heavy keys stay where they are and meet a broadcast of their few
-    lookup rows; all other rows are joined by shuffle.
+    lookup rows; all other rows are joined by shuffle. ``rows`` is read more than
+    once, so it should be a stored table or cheap to compute. Joins that are not
+    followed by a grouping on the same key need none of this: the adaptive
+    skew join splits their heavy partitions.
     """
     heavy = F.broadcast(heavy_keys(rows, on, share))
     at_heavy = rows.join(heavy, on, "left_semi").join(

@@ -119,7 +119,6 @@ def csv_postings(
 def read_profile_texts(spark: SparkSession, paths: list[str]) -> DataFrame:
     """One row per file: ``profile_id`` (the file) and the whole text."""
     return (
-        spark.read.option("wholetext", True)
-        .text(paths)
+        spark.read.text(paths, wholetext=True)
         .select(F.col("_metadata.file_path").alias("profile_id"), F.col("value").alias("cv_text"))
     )

@@ -25,6 +25,9 @@ from postledger.functions.flags import (
 )
 from postledger.functions.links import keyed_url, origin_of, query_param, text_hash, view_id, view_url
 from postledger.functions.text import clean
+from postledger.shared import ship_with_tasks
+
+ship_with_tasks(__name__)
 
 
 @dataclass(frozen=True)

@@ -26,8 +26,7 @@ def read_documents(spark: SparkSession, paths: list[str], per_line: bool = False
     A document is a whole file, or a line of an archive with ``per_line``.
     """
     return (
-        spark.read.option("wholetext", not per_line)
-        .text(paths)
+        spark.read.text(paths, wholetext=not per_line)
         .select(F.col("_metadata.file_path").alias("doc_key"), F.col("value").alias("body"))
     )
 
