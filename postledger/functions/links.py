@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
@@ -26,6 +27,15 @@ INDEED = Site("Indeed", "indeed", "%indeed.%", "indeed-%")
 SOURCE_LABELS = {"indeed": "Indeed", "job-ch": "job.ch"}
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it in an expression any number of times.
+
+    Naming a column twice doubles its expression in the plan; binding it keeps
+    long chains of url expressions, and the code generated for them, small.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def on_site(site: Site, url: Column, source_id: Column) -> Column:
     """True where url or id carry the site's mark; the patterns ignore case."""
     return F.coalesce(url.ilike(site.url_like), F.lit(False)) | F.coalesce(
@@ -59,21 +69,18 @@ def site_link(site: Site, source: Column, url: Column, source_id: Column) -> Col
 
 def url_key(url: Column) -> Column:
     """Stripped url without trailing slashes; NULL where there is no url."""
-    text = strip(url)
-    return F.when(text != "", F.rtrim(text, F.lit("/")))
+    return F.rtrim(F.nullif(strip(url), F.lit("")), F.lit("/"))
 
 
 def url_variants(url: Column) -> Column:
     """The spellings of one url that count as equal: as is, without and with a slash."""
-    text = strip(url)
-    spellings = F.array(
-        text,
-        F.rtrim(text, F.lit("/")),
-        F.when(text.endswith("/"), text).otherwise(F.concat(text, F.lit("/"))),
-    )
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(
-        F.array_distinct(spellings)
-    )
+    def spellings(text: Column) -> Column:
+        closed = F.when(text.endswith("/"), text).otherwise(F.concat(text, F.lit("/")))
+        return F.when(text == "", F.array().cast("array<string>")).otherwise(
+            F.array_distinct(F.array(text, F.rtrim(text, F.lit("/")), closed))
+        )
+
+    return let(strip(url), spellings)
 
 
 def content_id(source_id: Column, url: Column, title: Column, company: Column, location: Column) -> Column:
@@ -85,19 +92,13 @@ def content_id(source_id: Column, url: Column, title: Column, company: Column, l
 
 def text_hash(text: Column) -> Column:
     """32-bit multiply-and-xor hash over UTF-16 units, as lower-case hex."""
-    units = F.hex(F.encode(text, "UTF-16BE"))
-    count = (F.length(units) / 4).cast("int")
-    codes = F.when(
-        count > 0,
-        F.transform(
-            F.sequence(F.lit(1), count),
-            lambda i: F.conv(F.substring(units, i * 4 - 3, F.lit(4)), 16, 10).cast("bigint"),
-        ),
-    ).otherwise(F.array().cast("array<bigint>"))
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("[0-9A-F]{4}"), F.lit(0))
     value = F.aggregate(
-        codes,
+        units,
         F.lit(5381).cast("bigint"),
-        lambda h, code: (h * 33).bitwiseXOR(code).bitwiseAND(F.lit(4294967295)),
+        lambda h, unit: (h * 33)
+        .bitwiseXOR(F.conv(unit, 16, 10).cast("bigint"))
+        .bitwiseAND(F.lit(4294967295)),
     )
     return F.lower(F.hex(value))
 
@@ -110,7 +111,7 @@ def view_id(url: Column) -> Column:
 def query_param(url: Column, name: str) -> Column:
     """Value of a query parameter, decoded; '' if absent. Works on relative urls too."""
     raw = F.regexp_extract(F.coalesce(url, F.lit("")), rf"^[^#?]*\?(?:[^#]*&)?{name}=([^&#]*)", 1)
-    return F.coalesce(F.try_url_decode(raw), raw)
+    return let(raw, lambda value: F.coalesce(F.try_url_decode(value), value))
 
 
 def encode_component(text: Column) -> Column:
@@ -127,25 +128,28 @@ def resolve_url(href: Column, origin: Column) -> Column:
     Covers absolute, scheme-relative, root-relative, query-only, fragment-only and
     plain relative links; scheme and host become lower case, an empty path becomes /.
     """
-    text = strip(href)
     scheme = F.regexp_extract(origin, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
-    joined = (
-        F.when(text.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), text)
-        .when(text.startswith("//"), F.concat(scheme, text))
-        .when(text.startswith("/"), F.concat(origin, text))
-        .otherwise(F.concat(origin, F.lit("/"), F.regexp_replace(text, r"^(?:\.{1,2}/)+", "")))
-    )
     web = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)(.*)$"
-    head = F.lower(F.regexp_extract(joined, web, 1))
-    tail = F.regexp_extract(joined, web, 2)
-    path = F.when(tail.startswith("/"), tail).otherwise(F.concat(F.lit("/"), tail))
-    usable = head.rlike(r"^[a-z][a-z0-9+.-]*://[^\s<>\\^|]+$")
-    return (
-        F.when(text == "", F.lit(""))
-        .when(usable, F.concat(head, path))
-        .when(joined.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:(?!//)."), joined)
-        .otherwise(F.lit(""))
-    )
+
+    def absolute(text: Column) -> Column:
+        return (
+            F.when(text == "", F.lit(""))
+            .when(text.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), text)
+            .when(text.startswith("//"), F.concat(scheme, text))
+            .when(text.startswith("/"), F.concat(origin, text))
+            .otherwise(F.concat(origin, F.lit("/"), F.regexp_replace(text, r"^(?:\.{1,2}/)+", "")))
+        )
+
+    def shaped(full: Column) -> Column:
+        head = F.lower(F.regexp_extract(full, web, 1))
+        path = F.regexp_replace(F.regexp_extract(full, web, 2), "^(?!/)", "/")
+        return (
+            F.when(full.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^\s<>\\^|/?#]+"), F.concat(head, path))
+            .when(full.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:(?!//)."), full)
+            .otherwise(F.lit(""))
+        )
+
+    return let(let(strip(href), absolute), shaped)
 
 
 def view_url(href: Column, job_id: Column, origin: Column) -> Column:
@@ -157,8 +161,12 @@ def view_url(href: Column, job_id: Column, origin: Column) -> Column:
 def keyed_url(href: Column, job_key: Column, origin: Column) -> Column:
     """Canonical posting url for sites that name postings by the ``jk`` parameter."""
     key = F.when(job_key != "", job_key).otherwise(query_param(href, "jk"))
-    canonical = F.concat(origin, F.lit("/viewjob?jk="), encode_component(key))
-    return F.when(key != "", canonical).otherwise(resolve_url(href, origin))
+
+    def chosen(value: Column) -> Column:
+        canonical = F.concat(origin, F.lit("/viewjob?jk="), encode_component(value))
+        return F.when(value != "", canonical).otherwise(resolve_url(href, origin))
+
+    return let(key, chosen)
 
 
 def origin_of(url: Column) -> Column:

@@ -256,7 +256,7 @@ def result_pages(spark: SparkSession, sf_dir: str, site: str) -> DataFrame:
     """
     layout = LAYOUTS[site]
     doc, slot = F.col("doc_id"), F.col("doc_id") % CARDS_PER_PAGE
-    page = F.floor(doc / CARDS_PER_PAGE)
+    page = F.expr(f"doc_id div {CARDS_PER_PAGE}")
     job = F.when(slot == 9, page * CARDS_PER_PAGE).otherwise(doc).cast("string")
     title = _escaped(F.coalesce(headline(F.col("text")), F.lit("")))
     numbered = layout.numbered
