@@ -14,6 +14,10 @@ JS_SPACE = (
     r"[\t-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 )
 
+# The same sets as plain characters, for trimming and translation.
+_PY_CHARS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+_JS_CHARS = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
+
 # Words read as true and as false.
 TRUE_WORDS = ["1", "true", "yes", "y", "remote"]
 FALSE_WORDS = ["0", "false", "no", "n", "onsite"]
@@ -39,18 +43,23 @@ def blank_to_null(col: Column) -> Column:
 
 def strip(col: Column) -> Column:
     """Text without leading and trailing Unicode white space; NULL becomes ''."""
-    edges = f"^{PY_SPACE}+|{PY_SPACE}+$"
-    return F.regexp_replace(F.coalesce(col, F.lit("")), edges, "")
+    return F.btrim(F.coalesce(col, F.lit("")), F.lit(_PY_CHARS))
+
+
+def _single_spaced(col: Column, spaces: str) -> Column:
+    """All of ``spaces`` become a space, runs become one. Only runs cost a regex match."""
+    plain = F.translate(F.coalesce(col, F.lit("")), spaces, " " * len(spaces))
+    return F.trim(F.regexp_replace(plain, " {2,}", " "))
 
 
 def squeeze(col: Column) -> Column:
     """Runs of Unicode white space become one space, ends trimmed."""
-    return F.trim(F.regexp_replace(F.coalesce(col, F.lit("")), f"{PY_SPACE}+", " "))
+    return _single_spaced(col, _PY_CHARS)
 
 
 def clean(col: Column) -> Column:
     """The browser form of :func:`squeeze`, used on page text."""
-    return F.trim(F.regexp_replace(F.coalesce(col, F.lit("")), f"{JS_SPACE}+", " "))
+    return _single_spaced(col, _JS_CHARS)
 
 
 def display_company(col: Column) -> Column:

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from postledger.functions.links import let
 from postledger.functions.text import match_key, strip
 from postledger.shared import is_small
 
@@ -18,15 +19,21 @@ def _any(conditions: list[Column]) -> Column:
     return reduce(lambda left, right: left | right, conditions, F.lit(False))
 
 
+def _contains_any(text: Column, fragments: list[Column]) -> Column:
+    """True where the text contains one of the non-empty constant fragments.
+
+    The text is evaluated once, and the list is one constant of the plan however
+    long it is.
+    """
+    wanted = F.filter(F.array(*fragments), lambda fragment: fragment != "")
+    return let(text, lambda value: F.exists(wanted, lambda fragment: F.contains(value, fragment)))
+
+
 def company_excluded(company: Column, fragments: list[str]) -> Column:
     """True where the company key contains one of the non-empty fragment keys."""
-    key = match_key(company)
-    hits = [
-        (match_key(F.lit(fragment)) != "") & key.contains(match_key(F.lit(fragment)))
-        for fragment in fragments
-        if fragment
-    ]
-    return _any(hits)
+    if not fragments:
+        return F.lit(False)
+    return _contains_any(match_key(company), [match_key(F.lit(fragment)) for fragment in fragments])
 
 
 def exclude_companies(postings: DataFrame, fragments: list[str], column: str = "company") -> DataFrame:
@@ -52,8 +59,9 @@ def exclude_companies_by_table(
     keys = fragments.select(match_key(F.col("fragment")).alias("fragment")).where("fragment <> ''").distinct()
     if is_small(keys, inline_rows):
         listed = [row.fragment for row in keys.collect()]
-        key = match_key(F.col(column))
-        return postings.where(~_any([key.contains(F.lit(fragment)) for fragment in listed]))
+        if not listed:
+            return postings
+        return postings.where(~_contains_any(match_key(F.col(column)), [F.lit(key) for key in listed]))
 
     companies = postings.select(F.col(column).alias("_name")).distinct().withColumn("_key", match_key(F.col("_name")))
     lengths = keys.agg(F.collect_set(F.length("fragment")).alias("lengths")).scalar()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from postledger.shared import cut
 
@@ -15,7 +17,7 @@ def arrival_ids(rows: DataFrame, order: list[str], start: Column | int = 0, name
     Rows are range-partitioned and sorted, numbered inside their partition, and
     shifted by the sizes of the partitions before. The rows are settled first, so
     a repeated task cannot hand out other numbers; only one row per partition
-    takes part in the running sum.
+    is summed up.
     """
     placed = cut(
         rows.repartitionByRange(*order)
@@ -26,11 +28,11 @@ def arrival_ids(rows: DataFrame, order: list[str], start: Column | int = 0, name
     placed = placed.withColumn("_part", F.shiftright("_m", _ROW_BITS)).withColumn(
         "_row", F.col("_m").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     )
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy("_part")
-        .agg(F.count(F.lit(1)).alias("_size"))
-        .select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    # One row per partition, so this is as long as the list of tasks.
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size")).orderBy("_part").collect()
+    before = accumulate((row["_size"] for row in sizes), initial=0)
+    offsets = rows.sparkSession.createDataFrame(
+        [(row["_part"], n) for row, n in zip(sizes, before)], "_part bigint, _before bigint"
     )
     start = F.lit(start) if isinstance(start, int) else start
     return (

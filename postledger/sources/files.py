@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from postledger.functions.text import blank_to_null, or_default, parse_flag
 from postledger.operators.exclusion import company_excluded, title_excluded
@@ -92,12 +92,23 @@ def csv_postings(
 ) -> DataFrame:
     """Postings of a landed CSV file, with the source's own exclusions applied."""
     rows = read_landing(spark, [path], multi_line)
+    return shape_landing(rows, name, F.lit(path), exclude_title_keywords, exclude_companies)
+
+
+def shape_landing(
+    rows: DataFrame,
+    name: str,
+    path: Column,
+    exclude_title_keywords: list[str] | None = None,
+    exclude_companies: list[str] | None = None,
+) -> DataFrame:
+    """Postings from numbered landing rows: ids, defaults, flags, exclusions."""
     shaped = rows.select(
         F.lit(name).alias("source"),
         F.coalesce(
             blank_to_null(F.col("source_id")),
             blank_to_null(F.col("url")),
-            F.concat(F.lit(f"{path}:"), F.col("row_no").cast("string")),
+            F.concat(path, F.lit(":"), F.col("row_no").cast("string")),
         ).alias("source_id"),
         or_default(F.col("title"), "Untitled").alias("title"),
         or_default(F.col("company"), "Unknown").alias("company"),
@@ -108,14 +119,51 @@ def csv_postings(
         parse_flag(F.col("remote")).alias("remote"),
         "raw",
         "pos",
+        *[c for c in rows.columns if c == "seen_at"],
     )
     if exclude_title_keywords:
         shaped = shaped.where(~title_excluded(F.col("title"), exclude_title_keywords))
     if exclude_companies:
         shaped = shaped.where(~company_excluded(F.col("company"), exclude_companies))
+    if "seen_at" in rows.columns:
+        return shaped
     return conform(shaped, POSTING)
 
 
+def landing_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Stream of the CSV files that land in a folder, with the eight columns in order."""
+    return (
+        spark.readStream.schema(LANDING)
+        .option("header", True)
+        .option("multiLine", True)
+        .option("escape", '"')
+        .csv(folder)
+        .select(
+            *LANDING_COLUMNS,
+            F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_block"),
+            F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("seen_at"),
+        )
+    )
+
+
+def stream_postings(
+    batch: DataFrame,
+    name: str,
+    exclude_title_keywords: list[str] | None = None,
+    exclude_companies: list[str] | None = None,
+) -> DataFrame:
+    """Postings of one micro-batch of :func:`landing_stream`.
+
+    They are seen at the time their file was written, so a replay of the batch
+    gives the same sightings.
+    """
+    raw = F.to_json(F.struct(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in sorted(LANDING_COLUMNS)]))
+    numbered = batch.withColumn("raw", raw).withColumn("_m", F.monotonically_increasing_id()).transform(_with_row_numbers)
+    rows = numbered.withColumn("pos", F.col("row_no"))
+    return shape_landing(rows, name, F.col("_file"), exclude_title_keywords, exclude_companies)
+
+
 def read_profile_texts(spark: SparkSession, paths: list[str]) -> DataFrame:
     """One row per file: ``profile_id`` (the file) and the whole text."""
     return (

@@ -1,9 +1,10 @@
 """Whole scans and streams."""
 
 from postledger.operators.ledger import fold_sightings
+from postledger.operators.matching import score_postings
 from postledger.plans import fixtures as fx
 from postledger.plans.scan import ScanSettings, run_scan
-from postledger.sources import state
+from postledger.sources import files, state
 from postledger.sources.registry import Source
 from postledger.streaming import incremental
 
@@ -53,3 +54,25 @@ def test_stream_equals_batch_and_replays_are_idempotent(spark, sf_dir, tmp_path)
     assert key(incremental.read_ledger(spark, root)) == whole
     incremental.compact(spark, root, 99)
     assert key(incremental.read_ledger(spark, root)) == whole
+
+
+def test_landing_folder_stream(spark, tmp_path):
+    landing, root = tmp_path / "landing", str(tmp_path / "ledger")
+    landing.mkdir()
+    header = "source_id,title,company,location,url,description,posted_at,remote\n"
+    (landing / "a.csv").write_text(header + '1,"Dev, ""x""",Co,,,"two\nlines",,yes\n,Linux,Co,,,,,\n,Ops,Bad Co,,,,,\n,Ops,Co,,,,,\n')
+
+    def run():
+        incremental.incremental_scan(
+            files.landing_stream(spark, str(landing)),
+            root,
+            f"{root}/checkpoint",
+            lambda batch: score_postings(files.stream_postings(batch, "m", ["linux"], ["bad"]), None),
+        ).awaitTermination()
+        return {r.source_id.rsplit("/", 1)[-1]: r for r in incremental.read_ledger(spark, root).collect()}
+
+    first = run()
+    assert {k: r.seen_count for k, r in first.items()} == {"1": 1, "a.csv:4": 1}
+    assert first["1"].title == 'Dev, "x"' and first["1"].description == "two\nlines" and first["1"].remote is True
+    (landing / "b.csv").write_text(header + "1,Dev 2,Co,,,,,\n")
+    assert {k: (r.seen_count, r.title) for k, r in run().items()} == {"1": (2, "Dev 2"), "a.csv:4": (1, "Ops")}
