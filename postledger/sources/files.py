@@ -8,7 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from postledger.functions.text import blank_to_null, or_default, parse_flag
 from postledger.operators.exclusion import company_excluded, title_excluded
 from postledger.schemas import LANDING, LANDING_COLUMNS, POSTING, conform
-from postledger.shared import lookup_join
+from postledger.shared import cut, is_small
+
+# Longest table of file blocks that is broadcast; at 128 MB a block this is about
+# 60 TB of text. A longer one is joined by shuffle.
+BLOCK_ROWS = 500_000
 
 _FILE_BITS = 40  # pos = file order in the high bits, row number in the low ones
 
@@ -17,16 +21,20 @@ def _with_row_numbers(rows: DataFrame) -> DataFrame:
     """Add ``row_no``, counted from 1 within each file.
 
     Rows of one file block are numbered where they were read; blocks are shifted
-    by the sizes of the blocks before them. Only one row per block is sorted.
+    by the sizes of the blocks before them. The rows are settled first: files
+    could be split otherwise the next time they are read. The table of shifts has
+    one row per file block, not per row.
     """
+    rows = cut(rows, "landed")
     blocks = rows.groupBy("_file", "_block").agg(F.min("_m").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     shifts = blocks.select(
         "_file", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift")
     )
-    return lookup_join(rows, shifts, ["_file", "_block"], "inner").withColumn(
-        "row_no", (F.col("_m") + F.col("_shift")).cast("bigint")
-    )
+    shifts = cut(shifts, "blocks")
+    if is_small(shifts, BLOCK_ROWS):
+        shifts = F.broadcast(shifts)
+    return rows.join(shifts, ["_file", "_block"]).withColumn("row_no", (F.col("_m") + F.col("_shift")).cast("bigint"))
 
 
 def read_landing(spark: SparkSession, paths: list[str], multi_line: bool = True) -> DataFrame:
