@@ -21,6 +21,7 @@ def spark():
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "8g",
+            "spark.sql.execution.arrow.pyspark.enabled": "true",
         },
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -15,7 +15,7 @@ BATCH = (
 T0 = dt.datetime(2024, 1, 1)
 
 
-def sighting(source, ident, day, pos, company="Example Co", title="T", url=None, location=None):
+def sighting(source, ident, day, pos, company="Plain Co", title="T", url=None, location=None):
     return (source, ident, company, title, location, None, url, "", None, 1.0, ["k"], [], "{}", T0 + dt.timedelta(days=day), pos)
 
 
@@ -39,7 +39,7 @@ def test_upsert_counts_and_keeps_status(spark):
     assert (one.seen_count, one.status, one.title, one.company, one.location) == (2, "applied", "U", "Other Co", None)
     assert (one.first_seen_at, one.last_seen_at) == (T0, T0 + dt.timedelta(days=1))
     assert (two.seen_count, two.status, two.id) == (2, "new", 2)
-    assert sorted(r.name for r in companies.collect()) == ["Example Co", "Other Co"]
+    assert sorted(r.name for r in companies.collect()) == ["Other Co", "Plain Co"]
 
 
 def test_batches_in_any_order_give_one_result(spark):
@@ -68,13 +68,13 @@ def test_new_in_latest_scan(spark):
     jobs, companies, _ = upsert(spark, *empty(spark), [
         sighting("m", "linkedin-1", 5, 1, url="https://www.linkedin.com/jobs/view/1"),
         sighting("m", "linkedin-1", 5, 2, url="https://www.linkedin.com/jobs/view/1"),
-        sighting("m", "linkedin-2", 5, 3, "Another Co", url="https://www.linkedin.com/jobs/view/2"),
+        sighting("m", "linkedin-2", 5, 3, "Second Co", url="https://www.linkedin.com/jobs/view/2"),
         sighting("m", "old", 1, 0),
         sighting("n", "late", 8, 4),
     ])
     log = scan_log(spark, [("m", T0 + dt.timedelta(days=5), None), ("m", T0 + dt.timedelta(days=7), "broken"), ("n", T0 + dt.timedelta(days=8), None)])
     rows = reports.new_jobs(jobs, companies, log, source="m").collect()
-    assert [(r.source_id, r.website, r.company) for r in rows] == [("linkedin-2", "LinkedIn", "Another Co")]
+    assert [(r.source_id, r.website, r.company) for r in rows] == [("linkedin-2", "LinkedIn", "Second Co")]
     # Without a source the newest scan of any source decides.
     assert [r.source_id for r in reports.new_jobs(jobs, companies, log).collect()] == ["late"]
     # Without any scan every job seen once is new.

@@ -16,7 +16,7 @@ def write(path, text, encoding="utf-8"):
 def test_csv_cells_defaults_and_ids(spark, tmp_path):
     path = write(tmp_path / "jobs.csv", (
         "﻿source_id,title,company,location,url,description,remote,extra\r\n"
-        '1,"Linux ""Pro""",Example Co,"Bern, CH",http://a,"two\nlines",yes,x\r\n'
+        '1,"Linux ""Pro""",Plain Co,"Bern, CH",http://a,"two\nlines",yes,x\r\n'
         ",,,,http://b,,onsite,\r\n"
         "\r\n"
         ",Third,,,,,perhaps,\r\n"
@@ -33,8 +33,8 @@ def test_csv_cells_defaults_and_ids(spark, tmp_path):
 
 
 def test_csv_exclusions_and_missing_file(spark, tmp_path):
-    path = write(tmp_path / "j.csv", "source_id,title,company\n1,Linux Engineer,A\n2,Dev,Crossing Hurdles\n3,Dev,B\n,Dev,C\n")
-    got = files.csv_postings(spark, "m", path, ["LINUX"], ["crossing hurdles"])
+    path = write(tmp_path / "j.csv", "source_id,title,company\n1,Linux Engineer,A\n2,Dev,Northern Staffing\n3,Dev,B\n,Dev,C\n")
+    got = files.csv_postings(spark, "m", path, ["LINUX"], ["northern staffing"])
     # Row numbers count the rows that were dropped.
     assert {r.source_id for r in got.collect()} == {"3", f"{path}:4"}
     assert files.csv_postings(spark, "m", str(tmp_path / "none.csv")).count() == 0
