@@ -99,6 +99,15 @@ def matched_templates(words: DataFrame, keys: list[str], templates: dict[str, li
     return pairs.groupBy(*keys, "label").agg(F.max(F.col("common") / F.col("size")).alias("score"))
 
 
+def places(line: Column, phrase: str) -> Column:
+    """Word numbers at which the phrase starts in a line of words between spaces; NULL if nowhere."""
+    length = len(phrase.split())
+    # The closing space is only looked at: the next phrase may begin with it.
+    words = F.transform(F.split(line, f" {phrase}(?= )"), lambda piece: F.regexp_count(piece, F.lit("[^ ]+")))
+    ahead = lambda k: F.aggregate(F.slice(words, F.lit(1), k), F.lit(0), lambda total, n: total + n) + (k - 1) * length
+    return F.when(line.contains(f" {phrase} "), F.transform(F.sequence(F.lit(1), F.size(words) - 1), ahead))
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES, templates: dict[str, list[str]] = TEMPLATES, threshold: int = THRESHOLD) -> DataFrame:
     """License phrases and templates found in every document.
 
@@ -119,21 +128,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     line = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
     narrow = words.select("doc_id", "_text", F.size("words").cast("long").alias("n_words"), line.alias("_line"))
-    starts = []
-    for label, phrase in phrases.items():
-        # The closing space is only looked at: the next phrase may begin with it.
-        pattern = f" {phrase}(?= )"
-        pieces = F.transform(F.split("_line", pattern), lambda p: F.regexp_count(p, F.lit("[^ ]+")))
-        # Words before a place: those of the pieces so far, and the phrases between them.
-        narrow = narrow.withColumn(f"_{label}", F.when(F.col("_line").contains(f" {phrase} "), pieces))
-        length = len(phrase.split())
-        n = F.coalesce(F.size(F.col(f"_{label}")) - 1, F.lit(0))
-        before = F.transform(
-            F.when(n > 0, F.sequence(F.lit(1), n)),
-            lambda k, c=f"_{label}", w=length: F.aggregate(F.slice(F.col(c), 1, k), F.lit(0), lambda a, x: a + x) + (k - 1) * w,
-        )
-        starts.append(F.coalesce(before, F.array().cast("array<int>")))
-    narrow = narrow.withColumn("_starts", F.flatten(F.array(*starts)))
+    narrow = narrow.withColumns({f"_{label}": places(F.col("_line"), phrase) for label, phrase in phrases.items()})
+    narrow = narrow.withColumn("_starts", F.flatten(F.array(*[F.coalesce(f"_{label}", F.array().cast("array<int>")) for label in phrases])))
     base = F.array_compact(F.array(*[F.when(F.col(f"_{label}").isNotNull(), F.lit(label)) for label in phrases]))
     narrow = narrow.select(
         "doc_id",
