@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postledger.llm import chat, exact, language, licenses, mixing, packing
+from postledger.llm import chat, exact, jaccard, language, licenses, mixing, packing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -49,4 +53,4 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(rows.unionByName(extra)))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op5_license_scan, op7_exact_dedup, op8_mix_sources, op9_pack, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op5_license_scan, op6_ngram_jaccard, op7_exact_dedup, op8_mix_sources, op9_pack, op10_chat_format)}
