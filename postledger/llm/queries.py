@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postledger.llm import chat, exact, jaccard, language, licenses, mixing, packing, vectors
+from postledger.llm import chat, exact, jaccard, language, licenses, mixing, packing, pii, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_labels(table(spark, sf_dir, "documents"))
 
@@ -57,4 +61,4 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(rows.unionByName(extra)))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op4_vector_near_dedup, op5_license_scan, op6_ngram_jaccard, op7_exact_dedup, op8_mix_sources, op9_pack, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_personal_data, op2_language_id, op4_vector_near_dedup, op5_license_scan, op6_ngram_jaccard, op7_exact_dedup, op8_mix_sources, op9_pack, op10_chat_format)}
