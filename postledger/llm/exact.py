@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from postledger.llm.rows import single, text_key, without
 from postledger.shared import cut
 
 WHITE = r"[\x20\x09-\x0D]+"
@@ -12,7 +13,7 @@ FAN_IN = 8
 
 
 def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_chars, sha, proof``: one narrow row per document, NULL text as empty.
+    """``doc_id, n_chars, text_key, sha, proof``: one narrow row per document, NULL text as empty.
 
     ``proof`` (length and a second hash of the normalised text) verifies that two
     texts of one digest are the same; rows that differ in it are never merged.
@@ -22,6 +23,7 @@ def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(
         F.col(id_col).alias("doc_id"),
         F.length(text).alias("n_chars"),
+        text_key(F.col(text_col)).alias("text_key"),
         F.unhex(F.sha2(bare.cast("binary"), 256)).alias("sha"),
         F.xxhash64(F.length(bare), bare).alias("proof"),
     )
@@ -58,7 +60,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Every document with the document that stays for it.
 
     Texts are equal when they agree after deleting space, tab, LF, VT, FF and CR.
-    Returns ``doc_id, keep_id, group_size, kept, text_sha256``, one row per input row.
+    Returns ``doc_id, keep_id, group_size, kept, text_sha256, text_key``, one row per
+    input row; ``text_key`` is a hash of the text as it stands.
 
     NULL text counts as empty, so all NULL, empty and blank texts form one group. A
     NULL id is an ordinary row whose ``kept`` says whether the group keeps a NULL id.
@@ -73,4 +76,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        "text_key",
     )
+
+
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that stay, with all their columns; of rows that repeat id and text one stays."""
+    decided = cut(exact_groups(docs, id_col, text_col), "exact-decided")
+    left = without(docs, decided.where(~F.col("kept")).select("doc_id", "text_key"), text_col, id_col)
+    repeated = decided.where("kept").groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return single(left, cut(repeated.select("doc_id", "text_key"), "exact-repeated"), text_col, id_col)

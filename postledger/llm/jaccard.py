@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from postledger.llm.components import components
+from postledger.llm.rows import without
 from postledger.llm.shingles import mixed, shingle_sets
 from postledger.shared import cut
 
@@ -230,3 +231,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         sets.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
     )
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows whose id is the smallest of its component, with all their columns; NULL ids stay."""
+    decided = jaccard_components(docs, id_col, text_col)
+    dropped = cut(decided.where("doc_id != component_id").select("doc_id").distinct(), "ngram-dropped")
+    return without(docs, dropped, None, id_col)

@@ -174,3 +174,20 @@ def language_labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     model = train(rows.where(~held_out(F.col("doc_id"))))
     return identify(rows.withColumn("held_out", held_out(F.col("doc_id"))), model, ["doc_id", "held_out"])
+
+
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_score: float = 0.5) -> DataFrame:
+    """The rows whose text has a language, with all their columns.
+
+    A document is rejected if it has no letter or no language reaches ``least_score``.
+    The model learns as in :func:`language_labels`. If no row is labelled, nothing can
+    be told and all rows with a letter stay.
+    """
+    model = train(docs.where(~held_out(F.col(id_col))), text_col, lang_col)
+    if not model.langs:
+        return docs.where(F.col(text_col).rlike(r"\p{L}"))
+    # Columns travel under numbers, so no name can clash with the predictions.
+    names = docs.columns
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    labelled = identify(numbered, model, numbered.columns, f"c{names.index(text_col)}")
+    return labelled.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).drop("lang_pred", "score").toDF(*names)

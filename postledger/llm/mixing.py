@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from postledger.llm.rows import ID, TEXT, single, text_key
 from postledger.operators.ids import arrival_ids
 from postledger.shared import cut
 
@@ -60,7 +61,7 @@ def mix_sources(
 ) -> DataFrame:
     """How often each document enters the mix.
 
-    Returns ``doc_id, size, source_size, target, copies, taken``, one row per input
+    Returns ``doc_id, size, source_size, target, copies, taken, text_key``, one row per input
     row: ``copies`` is the whole part of target / source_size for every document,
     plus one for the fraction of them that a systematic draw picks. The draw walks
     the documents of a source by size, ties in seeded order, and takes evenly spaced
@@ -77,6 +78,7 @@ def mix_sources(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
             word_count(F.col(text_col)).alias("size"),
+            text_key(F.col(text_col)).alias("text_key"),
         ),
         "mix-sizes",
     )
@@ -99,5 +101,20 @@ def mix_sources(
         placed.join(targets, F.col("source").eqNullSafe(F.col("_source")))
         .withColumn("_rate", rate)
         .withColumn("copies", (F.floor("_rate") + drawn).cast("long"))
-        .select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "text_key")
     )
+
+
+def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of the mix, with all their columns: each as often as its copies say.
+
+    Rows that repeat id and text share their copies.
+    """
+    mix = cut(mix_sources(docs, id_col, text_col, source_col, **options), "mix-copies")
+    totals = mix.groupBy("doc_id", "text_key").agg(F.sum("copies").alias("_row_copies"), F.count(F.lit(1)).alias("_row_n"))
+    totals = cut(totals.withColumnsRenamed({"doc_id": ID, "text_key": TEXT}), "mix-totals")
+    one = single(docs, totals.where("_row_n > 1").select(F.col(ID).alias("doc_id"), F.col(TEXT).alias("text_key")), text_col, id_col)
+    taken = totals.where("_row_copies > 0").drop("_row_n")
+    same = F.col(id_col).eqNullSafe(F.col(ID)) & (text_key(F.col(text_col)) == F.col(TEXT))
+    repeated = one.join(taken, same).withColumn("_row_copy", F.explode(F.sequence(F.lit(1), F.col("_row_copies"))))
+    return repeated.select(*docs.columns)
