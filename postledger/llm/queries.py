@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postledger.llm import chat, exact, jaccard, language, licenses, mixing, packing, pii, vectors
+from postledger.llm import chat, exact, jaccard, language, licenses, mixing, packing, pii, vectors, windows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_labels(table(spark, sf_dir, "documents"))
 
 
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -61,4 +65,4 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(rows.unionByName(extra)))
 
 
-QUERIES = {f.__name__: f for f in (op1_personal_data, op2_language_id, op4_vector_near_dedup, op5_license_scan, op6_ngram_jaccard, op7_exact_dedup, op8_mix_sources, op9_pack, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_personal_data, op2_language_id, op3_repeated_passages, op4_vector_near_dedup, op5_license_scan, op6_ngram_jaccard, op7_exact_dedup, op8_mix_sources, op9_pack, op10_chat_format)}
