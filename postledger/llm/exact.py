@@ -46,8 +46,9 @@ def merge_runs(digests: DataFrame, runs: int = RUNS, fan_in: int = FAN_IN) -> Da
         F.struct((-F.col("n_chars")).alias("short"), F.col("doc_id").isNull().alias("anonymous"), "doc_id").alias("best"),
         F.lit(1).cast("long").alias("n"),
     )
-    while runs > 1:
-        runs = -(-runs // fan_in)
+    merged = False
+    while runs > 1 or not merged:
+        runs, merged = -(-runs // fan_in), True
         level = (
             level.withColumn("run", F.floor(F.col("run") / fan_in))
             .groupBy("run", "sha", "proof")
