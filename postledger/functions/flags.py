@@ -22,6 +22,16 @@ HUMAN_CHECK_PHRASES = [
     "cloudflare",
 ]
 
+# The character references that occur in page text, by name or number.
+REFERENCES = [
+    (r"&(?:nbsp|#160|#[xX][aA]0);", " "),
+    (r"&(?:lt|#60|#[xX]3[cC]);", "<"),
+    (r"&(?:gt|#62|#[xX]3[eE]);", ">"),
+    (r"&(?:quot|#34|#[xX]22);", '"'),
+    (r"&(?:apos|#0?39|#[xX]27);", "'"),
+    (r"&(?:amp|#38|#[xX]26);", "&"),
+]
+
 # The words that mark a posting as remote, per site.
 REMOTE_WORDS = {"linkedin": ["remote"], "indeed": ["remote", "home office"]}
 
@@ -44,12 +54,22 @@ def easy_apply(flag: Column, description: Column) -> Column:
     return stated | F.coalesce(description, F.lit("")).rlike(r"(?iU)\beasy\s+apply\b")
 
 
+def decode_references(text: Column) -> Column:
+    """Character references of text taken from HTML; ``&amp;`` goes last, so nothing is decoded twice."""
+    for pattern, plain in REFERENCES:
+        text = F.regexp_replace(text, pattern, plain)
+    return text
+
+
 def visible_text(html: Column) -> Column:
-    """Page body text: scripts, styles, comments and tags removed, cleaned."""
+    """Page body text: what is never shown, comments and tags removed, references decoded, cleaned."""
     body = F.regexp_replace(
-        html, r"(?is)^.*?<body[^>]*>|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->", " "
+        html,
+        r"(?is)^.*?<body[^>]*>|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+        r"|<template\b.*?</template\s*>|<noscript\b.*?</noscript\s*>|<!--.*?-->",
+        " ",
     )
-    return clean(F.regexp_replace(body, r"(?s)<[^>]*>", " "))
+    return clean(decode_references(F.regexp_replace(body, r"(?s)<[^>]*>", " ")))
 
 
 def blocked(page_text: Column, phrases: list[str]) -> Column:

@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from postledger.functions.links import url_key
 from postledger.functions.text import strip
-from postledger.shared import cut, ship_with_tasks
-
-# Rows left over after some rounds that one task may finish in order. The rows
-# are three short columns, so this is a few megabytes.
-TAIL_ROWS = 50_000
-
-ship_with_tasks(__name__)
+from postledger.shared import cut
 
 
 def first_by_key(rows: DataFrame, keys: list[str], order: str = "pos") -> DataFrame:
@@ -78,48 +69,29 @@ def _round_winners(active: DataFrame, guarded: bool) -> DataFrame:
 def _without_blocked(active: DataFrame, winners: DataFrame, guarded: bool) -> DataFrame:
     """Rows not yet decided once the winners' ids and urls are taken."""
     columns = ["pos", "id", "ukey", "bare", "guard"]
-    left = active.join(winners.select("id"), "id", "left_anti").join(
-        winners.where("ukey is not null").select("ukey"), "ukey", "left_anti"
-    )
+    left = active.join(winners.select("id"), "id", "left_anti")
+    # Rows without a url, or without a guard, meet nothing: they do not go into the joins.
+    linked = left.where("ukey is not null").join(winners.where("ukey is not null").select("ukey"), "ukey", "left_anti")
     if guarded:
         taken = winners.where("bare").select(F.col("ukey").alias("guard"), F.col("pos").alias("bare_pos"))
-        left = left.join(taken, "guard", "left").where(
+        apart = linked.where("guard is not null").join(taken, "guard", "left").where(
             F.col("bare_pos").isNull() | (F.col("bare_pos") > F.col("pos"))
         )
-    return left.select(*columns)
-
-
-def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sequential pass over the last few rows: keep a row if nothing blocks it."""
-    frames = list(batches)
-    if not frames:
-        return
-    rest = pd.concat(frames).sort_values("pos")
-    ids, urls, bare_urls, kept = set(), set(), set(), []
-    for row in rest.itertuples(index=False):
-        taken = row.id in ids or (row.ukey is not None and row.ukey in urls)
-        if taken or (row.guard is not None and row.guard in bare_urls):
-            continue
-        ids.add(row.id)
-        if row.ukey is not None:
-            urls.add(row.ukey)
-        if row.bare:
-            bare_urls.add(row.ukey)
-        kept.append(row.pos)
-    yield pd.DataFrame({"pos": pd.Series(kept, dtype="int64")})
-
-
-def greedy_matching(rows: DataFrame, exact_url: bool = False, tail_rows: int | None = None) -> DataFrame:
+        linked = linked.where("guard is null").select(*columns).unionByName(apart.select(*columns))
+    return left.where("ukey is null").select(*columns).unionByName(linked.select(*columns))
+
+
+def greedy_matching(rows: DataFrame, exact_url: bool = False) -> DataFrame:
     """Positions kept by the rule "keep a row iff no earlier kept row shares its id or url".
 
     ``rows`` has unique ``pos``, non-empty ``id`` and ``url`` (NULL if none). Rows
     that were dropped do not reserve their keys, so this is not a grouping by
-    either key. Rounds: rows that are first for both keys are kept, rows that
-    touch a kept key are dropped, and the rest goes on until nothing is left.
-    Equal (id, url) pairs are collapsed first; only their earliest row can be
-    kept. Once at most ``tail_rows`` rows remain, one task ends the job in order.
+    either key. Equal (id, url) pairs are collapsed first; only their earliest row can
+    be kept. Then it works in rounds until nothing is left: rows that are first for
+    both keys are kept, rows that touch a kept key are dropped. A round writes its open
+    rows once, marked as kept or not; an empty write ends the loop. The number of
+    rounds is half the longest chain of rows that depend on each other.
     """
-    limit = TAIL_ROWS if tail_rows is None else tail_rows
     active = (
         _keyed(rows, exact_url)
         .groupBy("id", "ukey", "bare", "guard")
@@ -127,28 +99,23 @@ def greedy_matching(rows: DataFrame, exact_url: bool = False, tail_rows: int | N
         .select("pos", "id", "ukey", "bare", "guard")
     )
     active = cut(active, "dedup-open")
-    stats = active.agg(F.count(F.lit(1)).alias("n"), F.count("guard").alias("g")).first()
-    kept, remaining, guarded = [], stats["n"], stats["g"] > 0
-    while remaining > limit:
-        winners = cut(_round_winners(active, guarded), "dedup-won")
-        kept.append(winners.select("pos"))
-        active = cut(_without_blocked(active, winners, guarded), "dedup-open")
-        remaining = active.count()
-    if remaining:
-        kept.append(active.coalesce(1).mapInPandas(_finish, "pos bigint"))
-    if not kept:
-        return active.select("pos")
-    result = kept[0]
-    for part in kept[1:]:
-        result = result.unionByName(part)
-    return result
-
-
-def dedup_two_keys(rows: DataFrame, exact_url: bool = False, tail_rows: int | None = None) -> DataFrame:
+    guarded = not active.where("guard is not null").isEmpty()
+    kept = active.select("pos").limit(0)
+    while True:
+        won = _round_winners(active, guarded).select("pos", F.lit(True).alias("won"))
+        marked = cut(active.join(won, "pos", "left"), "dedup-round")
+        if marked.isEmpty():
+            return kept
+        winners = marked.where("won").drop("won")
+        kept = kept.unionByName(winners.select("pos"))
+        active = _without_blocked(marked.where("won is null").drop("won"), winners, guarded)
+
+
+def dedup_two_keys(rows: DataFrame, exact_url: bool = False) -> DataFrame:
     """Whole rows kept by :func:`greedy_matching` (``source_id``, ``url``, ``pos``)."""
     narrow = rows.select(
         "pos",
         F.col("source_id").alias("id"),
         F.when(F.col("url") != "", F.col("url")).alias("url"),
     )
-    return rows.join(greedy_matching(narrow, exact_url, tail_rows), "pos", "left_semi")
+    return rows.join(greedy_matching(narrow, exact_url), "pos", "left_semi")

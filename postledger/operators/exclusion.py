@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from postledger.functions.links import let
 from postledger.functions.text import match_key, strip
-from postledger.shared import is_small
 
 # Fixed value: the keyword that matches as a word, with its two longer forms.
 WORD_KEYWORD = "intern"
@@ -47,22 +46,15 @@ def exclude_companies_by_table(
     postings: DataFrame,
     fragments: DataFrame,
     column: str = "company",
-    inline_rows: int = 500,
 ) -> DataFrame:
     """The same for a table of fragments (column ``fragment``).
 
-    A short table becomes part of the filter. A longer one is compared with the
-    distinct companies only, as an equi-join of fragments with the substrings of
-    the company keys that have the length of some fragment; nothing is compared
-    pair by pair and no table is broadcast for its assumed size.
+    The table is compared with the distinct companies only, as an equi-join of
+    fragments with the substrings of the company keys that have the length of some
+    fragment; nothing is compared pair by pair and no table is broadcast for its
+    assumed size.
     """
     keys = fragments.select(match_key(F.col("fragment")).alias("fragment")).where("fragment <> ''").distinct()
-    if is_small(keys, inline_rows):
-        listed = [row.fragment for row in keys.collect()]
-        if not listed:
-            return postings
-        return postings.where(~_contains_any(match_key(F.col(column)), [F.lit(key) for key in listed]))
-
     companies = postings.select(F.col(column).alias("_name")).distinct().withColumn("_key", match_key(F.col("_name")))
     lengths = keys.agg(F.collect_set(F.length("fragment")).alias("lengths")).scalar()
     pieces = (

@@ -35,14 +35,15 @@ def fold_sightings(batch: DataFrame) -> DataFrame:
     attributes = F.struct(*_present(batch, ATTRIBUTES))
     folded = batch.groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("seen_count"),
-        F.min("seen_at").alias("first_seen_at"),
+        F.min(latest).alias("_first"),
         F.max(latest).alias("_last"),
         F.max_by(attributes, latest).alias("_attributes"),
     )
     return folded.select(
         *KEY,
         "seen_count",
-        "first_seen_at",
+        F.col("_first.seen_at").alias("first_seen_at"),
+        F.col("_first.pos").alias("first_pos"),
         F.col("_last.seen_at").alias("last_seen_at"),
         F.col("_last.pos").alias("last_pos"),
         "_attributes.*",
@@ -55,14 +56,15 @@ def combine_folds(folds: DataFrame) -> DataFrame:
     attributes = F.struct(*_present(folds, ATTRIBUTES))
     merged = folds.groupBy(*KEY).agg(
         F.sum("seen_count").alias("seen_count"),
-        F.min("first_seen_at").alias("first_seen_at"),
+        F.min(F.struct(F.col("first_seen_at").alias("seen_at"), F.col("first_pos").alias("pos"))).alias("_first"),
         F.max(latest).alias("_last"),
         F.max_by(attributes, latest).alias("_attributes"),
     )
     return merged.select(
         *KEY,
         "seen_count",
-        "first_seen_at",
+        F.col("_first.seen_at").alias("first_seen_at"),
+        F.col("_first.pos").alias("first_pos"),
         F.col("_last.seen_at").alias("last_seen_at"),
         F.col("_last.pos").alias("last_pos"),
         "_attributes.*",
@@ -105,7 +107,9 @@ def upsert_folds(state: DataFrame, fold: DataFrame) -> DataFrame:
             return F.when(has_new, F.col(f"new.{name}"))
         return F.when(newer, F.col(f"new.{name}")).otherwise(F.col(f"old.{name}"))
 
+    # The first position only orders new keys; it is not part of the state.
     names = [*state.columns, *[name for name in fold.columns if name not in state.columns]]
+    names = [name for name in names if name != "first_pos"]
     if "status" not in names:
         names.append("status")
     return joined.select(*[pick(name).alias(name) if name != "status" or "status" in state.columns
@@ -162,8 +166,10 @@ def upsert_postings(jobs: DataFrame, companies: DataFrame, batch: DataFrame) ->
     fold = fold_sightings(batch.withColumn("company", display_company(F.col("company"))))
     numbers = grown.select(F.col("name").alias("company"), F.col("id").alias("company_id"))
     named = fold.join(numbers, "company", "left").drop("company")
-    merged = cut(upsert_folds(jobs, named), "jobs")
+    named = cut(named, "fold")
+    # Only the keys of new postings are numbered: three short columns.
     start = jobs.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    fresh = arrival_ids(merged.where("id is null").drop("id"), ["first_seen_at", "last_pos"], start)
-    result = conform(merged.where("id is not null"), JOBS).unionByName(conform(fresh, JOBS))
-    return Upsert(result, grown, sighting_counts(batch, jobs))
+    fresh = named.select(*KEY, "first_seen_at", "first_pos").join(jobs.select(*KEY), KEY, "left_anti")
+    fresh = arrival_ids(fresh, ["first_seen_at", "first_pos"], start).select(*KEY, F.col("id").alias("_new_id"))
+    merged = upsert_folds(jobs, named).join(fresh, KEY, "left").withColumn("id", F.coalesce("id", "_new_id"))
+    return Upsert(conform(merged, JOBS), grown, sighting_counts(batch, jobs))

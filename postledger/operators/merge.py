@@ -26,6 +26,11 @@ class MergeRules:
     exact_url: bool = False
 
 
+def union_rules(*lists: list[str] | None) -> list[str]:
+    """One exclusion list from the global one and those of sources, in order, each entry once."""
+    return list(dict.fromkeys(entry for entries in lists for entry in entries or []))
+
+
 @dataclass
 class Merge:
     """Result of a merge.
@@ -88,7 +93,6 @@ def merge_rows(
     existing: DataFrame | None = None,
     ledger: DataFrame | None = None,
     rules: MergeRules | None = None,
-    tail_rows: int | None = None,
 ) -> Merge:
     """Merge ``new_rows`` (with arrival order ``pos``) into the existing landing rows.
 
@@ -118,13 +122,15 @@ def merge_rows(
     if known:
         ids, urls = known_keys(known, rules.exact_url)
         key = F.col("url") if rules.exact_url else url_key(F.col("url"))
+        open_ids = candidates.withColumn("url_key", key).join(ids, "id", "left_anti")
+        # Rows without a url cannot meet a known one: they stay out of the join.
         fresh = (
-            candidates.withColumn("url_key", key)
-            .join(ids, "id", "left_anti")
+            open_ids.where("url_key is not null")
             .join(urls, "url_key", "left_anti")
             .select("pos", "id", "url")
+            .unionByName(open_ids.where("url_key is null").select("pos", "id", "url"))
         )
-    imported = greedy_matching(fresh, exact_url=rules.exact_url, tail_rows=tail_rows)
+    imported = greedy_matching(fresh, exact_url=rules.exact_url)
 
     # pos is unique, so this join has no heavy keys.
     decisions = rows.join(imported.select("pos", F.lit(True).alias("_in")), "pos", "left").withColumn(

@@ -107,7 +107,7 @@ def exclude_companies_table(spark, sf):
 
 
 def exclude_companies_long_table(spark, sf):
-    kept = exclusion.exclude_companies_by_table(fx.postings(spark, sf), _fragments(spark, sf), inline_rows=0)
+    kept = exclusion.exclude_companies_by_table(fx.postings(spark, sf), _fragments(spark, sf))
     return kept.select("source_id", "company")
 
 
@@ -144,11 +144,6 @@ def landing_rewrite(spark, sf):
 
 
 def dedup_two_keys(spark, sf):
-    rows = fx.landed(spark, sf).where("source_id <> ''")
-    return dedup.dedup_two_keys(rows, tail_rows=0).select("pos", "source_id", "url")
-
-
-def dedup_two_keys_with_tail(spark, sf):
     rows = fx.landed(spark, sf).where("source_id <> ''")
     return dedup.dedup_two_keys(rows).select("pos", "source_id", "url")
 
@@ -602,14 +597,9 @@ def incremental_scan(spark, sf):
 
 
 def running_sightings(spark, sf):
-    name = "running_" + new_path(spark, "q").rsplit("-", 1)[1]
-    query = (
-        incremental.running_sightings(_landed_stream(spark, sf))
-        .writeStream.outputMode("complete").format("memory").queryName(name)
-        .option("checkpointLocation", new_path(spark, "running")).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return _iso(spark.table(name), "first_seen_at", "last_seen_at")
+    root = new_path(spark, "running")
+    incremental.write_running(_landed_stream(spark, sf), root, new_path(spark, "running-state")).awaitTermination()
+    return _iso(incremental.read_running(spark, root), "first_seen_at", "last_seen_at")
 
 
 QUERIES: dict[str, Query] = {
@@ -629,7 +619,6 @@ QUERIES: dict[str, Query] = {
     "merge_counts": merge_counts,
     "landing_rewrite": landing_rewrite,
     "dedup_two_keys": dedup_two_keys,
-    "dedup_two_keys_with_tail": dedup_two_keys_with_tail,
     "import_exact_url": import_exact_url,
     "first_by_id": first_by_id,
     "last_by_id": last_by_id,

@@ -93,10 +93,11 @@ SIGHTINGS = """sightings as (
 
 FOLD = """fold as (
   select source, source_id, count(*) as seen_count, min(seen_at) as first_seen_at, max(seen_at) as last_seen_at,
-         max(pos) filter (where last_one) as last_pos, max(title) filter (where last_one) as title,
+         max(pos) filter (where last_one) as last_pos, max(pos) filter (where first_one) as first_pos, max(title) filter (where last_one) as title,
          max(company) filter (where last_one) as company, max(url) filter (where last_one) as url,
          max(match_score) filter (where last_one) as match_score
-  from (select *, row_number() over (partition by source, source_id order by seen_at desc, pos desc) = 1 as last_one
+  from (select *, row_number() over (partition by source, source_id order by seen_at desc, pos desc) = 1 as last_one,
+               row_number() over (partition by source, source_id order by seen_at, pos) = 1 as first_one
         from sightings) group by source, source_id)"""
 
 SCAN_DAYS = """scan_days as (
@@ -333,10 +334,19 @@ select page_key, 'https://jobs.example.com/search?q=1' as url, count(*) as n_rec
 from found group by page_key"""
 
 
-_VISIBLE = clean(
-    r"regexp_replace(regexp_replace(html, '(?is)^.*?<body[^>]*>|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'), "
-    r"'(?s)<[^>]*>', ' ', 'g')"
-)
+def _decoded(text: str) -> str:
+    """The named references that the pages hold, & last."""
+    for name, plain in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("amp", "&")):
+        text = f"replace({text}, '&{name};', '{plain}')"
+    return text
+
+
+# Elements that are not shown go one kind after the other, then comments, then tags.
+_SHOWN = "regexp_replace(html, '(?is)^.*?<body[^>]*>', ' ')"
+for _name in ("script", "style", "template", "noscript"):
+    _SHOWN = f"regexp_replace({_SHOWN}, '(?is)<{_name}\\b.*?</{_name}\\s*>', ' ', 'g')"
+_SHOWN = f"regexp_replace({_SHOWN}, '(?s)<!--.*?-->', ' ', 'g')"
+_VISIBLE = clean(_decoded(f"regexp_replace({_SHOWN}, '(?s)<[^>]*>', ' ', 'g')"))
 
 
 # --- applications ------------------------------------------------------------------
@@ -427,7 +437,6 @@ from (select item_id, coalesce((select list(tok order by r) from top where who =
     "landing_rewrite": f"""{_merged(False)} select source_id, title, company, nullif(url, '') as url from decisions where decision = 'imported'
 union all select source_id, title, company, url from kept_old""",
     "dedup_two_keys": TWO_KEYS,
-    "dedup_two_keys_with_tail": TWO_KEYS,
     "import_exact_url": EXACT,
     "first_by_id": f"with {LANDED} select source_id, min(pos) as pos, arg_min(url, pos) as url from landed where source_id <> '' group by source_id",
     "last_by_id": f"""with {LANDED} select source_id, max(pos) as pos, min(pos) as first_pos, arg_max(url, pos) as url
@@ -461,7 +470,7 @@ select page_id, rtrim(url, '/') as url_key,
 select source_id, case when given <> '' then given else 'manual-' || substr(sha256(case when url <> '' then url
   else concat_ws('|', title, company, location) end), 1, 16) end as content_id, {_text_hash("concat_ws('|', title, company, url)")} as text_hash from r""",
     "upsert_ledger": f"""with {SIGHTINGS}, {FOLD} select source, source_id, seen_count, {iso('first_seen_at')} as first_seen_at,
-  {iso('last_seen_at')} as last_seen_at, last_pos, title, match_score from fold""",
+  {iso('last_seen_at')} as last_seen_at, first_pos, last_pos, title, match_score from fold""",
     "upsert_two_batches": f"""with {SIGHTINGS}, {FOLD} select source, source_id, seen_count, {iso('first_seen_at')} as first_seen_at,
   {iso('last_seen_at')} as last_seen_at, last_pos, title, match_score,
   case when day(last_seen_at) > 15 then 'applied' else 'new' end as status from fold""",
@@ -469,9 +478,9 @@ select source_id, case when given <> '' then given else 'manual-' || substr(sha2
 half as (select *, day(seen_at) > 15 as late from sightings),
 firsts as (select company, late, seen_at, pos from (select *, row_number() over (partition by company order by seen_at, pos) as r from half) where r = 1),
 companies as (select company, row_number() over (order by seen_at, pos) as company_id from firsts),
-part_last as (select source, source_id, late, min(seen_at) as f, arg_max(pos, (seen_at, pos)) as lp from half group by source, source_id, late),
-born as (select source, source_id, f, lp, late from (select *, row_number() over (partition by source, source_id order by f) as r from part_last) where r = 1),
-ids as (select source, source_id, row_number() over (order by late, f, lp) as id from born)
+part_last as (select source, source_id, late, min(seen_at) as f, arg_min(pos, (seen_at, pos)) as fp from half group by source, source_id, late),
+born as (select source, source_id, f, fp, late from (select *, row_number() over (partition by source, source_id order by f) as r from part_last) where r = 1),
+ids as (select source, source_id, row_number() over (order by late, f, fp) as id from born)
 select id, source, source_id, company_id, company, title, {iso('first_seen_at')} as first_seen_at, {iso('last_seen_at')} as last_seen_at,
   seen_count, 'new' as status, match_score from fold join ids using (source, source_id) join companies using (company)""",
     "company_dimension": f"""with {POSTINGS}, named as (select coalesce(nullif({squeeze('company')}, ''), 'Unknown') as name, pos, location = 'en' as early from postings),
@@ -543,7 +552,7 @@ from postings, (values (0), (1)) v("at")""",
     "page_records_keyed": f"with {_page_cards('indeed')} select * from found",
     "page_summary_numbered": _page_counts("linkedin"),
     "page_summary_keyed": _page_counts("indeed"),
-    "page_flags": f"""select cast(page_id as varchar) as page_key, url, {clean("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)")} as title,
+    "page_flags": f"""select cast(page_id as varchar) as page_key, url, {clean(_decoded("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)"))} as title,
   ({" or ".join(f"contains(lower({_VISIBLE}), '{p}')" for p in HUMAN_CHECK_PHRASES)}) as blocked, md5({_VISIBLE}) as text_digest from pages""",
     "cv_files": "select item_id, md5(text) as digest from benchmark",
     "older_snapshot": f"with {SIGHTINGS} select distinct source, source_id, cast(1 as bigint) as seen_count, cast(-1 as bigint) as last_pos from sightings",
@@ -552,7 +561,7 @@ union all select 'api', count(*) * 2, count(*), count(*), false from kept_api
 union all select 'bad', 0, 0, 0, true""",
     "scan_ledger": SCAN_SCORED,
     "incremental_scan": f"""with {SIGHTINGS}, {FOLD} select source, source_id, seen_count, {iso('first_seen_at')} as first_seen_at,
-  {iso('last_seen_at')} as last_seen_at, last_pos, title, match_score from fold""",
+  {iso('last_seen_at')} as last_seen_at, first_pos, last_pos, title, match_score from fold""",
     "running_sightings": f"""with {SIGHTINGS}, {FOLD} select source, source_id, seen_count, {iso('first_seen_at')} as first_seen_at,
   {iso('last_seen_at')} as last_seen_at, title from fold""",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -69,11 +70,13 @@ def run_scan(
     batch_ts: str,
     names: list[str] | None = None,
     dry_run: bool = False,
+    finished_ts: str | None = None,
 ) -> DataFrame:
     """Scan the chosen sources into the next ledger version; returns the summaries.
 
     All rows of a scan carry ``batch_ts``, so running it again gives the same
     ledger. The version becomes visible by its mark, after all tables are written.
+    The log's finish time is the time at which the counts were known, unless given.
     A dry run reads, filters and scores, but writes nothing and counts no updates.
     """
     chosen = select_sources(sources, names)
@@ -106,7 +109,8 @@ def run_scan(
 
     summary = opened.join(counts, "source", "left").fillna(0, ["found_count", "new_count", "updated_count"])
     if not dry_run:
-        log = scan_rows(opened, counts, started)
+        finished_ts = finished_ts or datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S")
+        log = scan_rows(opened, counts, F.lit(finished_ts).cast("timestamp_ntz"))
         if result is None:
             version = latest_version(spark, root)
             jobs, companies, scans, applications = (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -17,8 +19,8 @@ BLOCK_ROWS = 500_000
 _FILE_BITS = 40  # pos = file order in the high bits, row number in the low ones
 
 
-def _with_row_numbers(rows: DataFrame) -> DataFrame:
-    """Add ``row_no``, counted from 1 within each file.
+def with_row_numbers(rows: DataFrame) -> DataFrame:
+    """Add ``row_no``, from 1 within each file, and ``all_no``, from 1 over all files by name.
 
     Rows of one file block are numbered where they were read; blocks are shifted
     by the sizes of the blocks before them. The rows are settled first: files
@@ -27,66 +29,93 @@ def _with_row_numbers(rows: DataFrame) -> DataFrame:
     """
     rows = cut(rows, "landed")
     blocks = rows.groupBy("_file", "_block").agg(F.min("_m").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = blocks.select(
-        "_file", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift")
-    )
-    shifts = cut(shifts, "blocks")
+    in_file = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    in_all = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda w: F.coalesce(F.sum("_n").over(w), F.lit(0)) - F.col("_first") + 1
+    shifts = cut(blocks.select("_file", "_block", before(in_file).alias("_shift"), before(in_all).alias("_all")), "blocks")
     if is_small(shifts, BLOCK_ROWS):
         shifts = F.broadcast(shifts)
-    return rows.join(shifts, ["_file", "_block"]).withColumn("row_no", (F.col("_m") + F.col("_shift")).cast("bigint"))
+    joined = rows.join(shifts, ["_file", "_block"])
+    return joined.withColumns({"row_no": (F.col("_m") + F.col("_shift")).cast("bigint"), "all_no": (F.col("_m") + F.col("_all")).cast("bigint")})
 
 
-def read_landing(spark: SparkSession, paths: list[str], multi_line: bool = True) -> DataFrame:
-    """Rows of landed CSV files as text, with ``path``, ``file_order`` and ``row_no``.
+def _csv_reader(spark: SparkSession, multi_line: bool):
+    return (
+        spark.read.option("header", True)
+        .option("multiLine", multi_line)
+        .option("escape", '"')
+        .option("encoding", "UTF-8")
+    )
+
+
+def _landed_files(spark: SparkSession, paths: list[str]) -> list[tuple[int, str, str]]:
+    """``path number, file, header line`` of every landed file, in path order, then by name.
 
-    Columns are found by header name per path, absent ones are NULL, a missing
-    path is empty. ``multi_line=False`` lets large files be split; then a cell
-    may not contain a line break.
+    One job for all paths reads the first line of every file; the driver gets one
+    short row per file. A path that does not exist has no files.
     """
     parts = []
     for order, path in enumerate(paths):
         try:
-            rows = (
-                spark.read.option("header", True)
-                .option("multiLine", multi_line)
-                .option("escape", '"')
-                .option("encoding", "UTF-8")
-                .csv(path)
-            )
+            lines = spark.read.text(path)
         except AnalysisException as error:
             if "PATH_NOT_FOUND" not in str(error):
                 raise
             continue
+        parts.append(
+            lines.select(
+                F.lit(order).alias("n"), F.col("_metadata.file_path").alias("file"),
+                F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("m"), "value",
+            ).where("block = 0")
+        )
+    if not parts:
+        return []
+    heads = reduce(DataFrame.unionByName, parts).groupBy("n", "file").agg(F.min_by("value", "m").alias("head"))
+    return [(r["n"], r["file"], r["head"]) for r in heads.orderBy("n", "file").collect()]
+
+
+def read_landing(spark: SparkSession, paths: list[str], multi_line: bool = True) -> DataFrame:
+    """Rows of landed CSV files as text, with ``path``, ``file_order``, ``row_no`` and ``pos``.
+
+    Every file of every path is read by its own header line: files with one header
+    are read together, columns are found by name, absent ones are NULL. A missing
+    path is empty. ``path`` is the path as given where it names one file, else
+    the file's own. ``pos`` is unique: the file's number, then the row's. ``multi_line=False``
+    lets large files be split; then a cell may not contain a line break.
+    """
+    landed = _landed_files(spark, paths)
+    groups: dict[str, list[tuple[int, str, str]]] = {}
+    for number, (order, file, head) in enumerate(landed):
+        single = sum(1 for n, _, _ in landed if n == order) == 1 and file.endswith(paths[order].rsplit("/", 1)[-1])
+        groups.setdefault(head, []).append((number, file, paths[order] if single else file))
+    parts = []
+    for files in groups.values():
+        rows = _csv_reader(spark, multi_line).csv([file for _, file, _ in files])
         cells = sorted(name for name in rows.columns if name)
         raw = F.to_json(F.struct(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in cells]))
         named = [
             F.col(f"`{name}`") if name in rows.columns else F.lit(None).cast("string").alias(name)
-            for name in LANDING_COLUMNS
+            for name in [*LANDING_COLUMNS, "easy_apply"]
         ]
-        extra = [F.col("easy_apply")] if "easy_apply" in rows.columns else [F.lit(None).cast("string").alias("easy_apply")]
+        order = spark.createDataFrame(files, "file_order int, _file string, path string")
         parts.append(
             rows.select(
                 *named,
-                *extra,
                 raw.alias("raw"),
                 F.col("_metadata.file_path").alias("_file"),
                 F.col("_metadata.file_block_start").alias("_block"),
                 F.monotonically_increasing_id().alias("_m"),
             )
-            .transform(_with_row_numbers)
-            .select(
-                *LANDING_COLUMNS, "easy_apply", "raw",
-                F.lit(path).alias("path"), F.lit(order).alias("file_order"), "row_no",
-            )
+            .transform(with_row_numbers)
+            # One row per file.
+            .join(F.broadcast(order), "_file")
+            .select(*LANDING_COLUMNS, "easy_apply", "raw", "path", "file_order", "row_no", "_file")
         )
     if not parts:
-        empty = "easy_apply string, raw string, path string, file_order int, row_no bigint"
+        empty = "easy_apply string, raw string, path string, file_order int, row_no bigint, _file string"
         fields = ", ".join(f"{f.name} string" for f in LANDING.fields)
         return spark.createDataFrame([], f"{fields}, {empty}").withColumn("pos", F.lit(0).cast("bigint"))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
+    result = reduce(DataFrame.unionByName, parts)
     return result.withColumn("pos", F.shiftleft(F.col("file_order").cast("bigint"), _FILE_BITS) + F.col("row_no"))
 
 
@@ -100,7 +129,7 @@ def csv_postings(
 ) -> DataFrame:
     """Postings of a landed CSV file, with the source's own exclusions applied."""
     rows = read_landing(spark, [path], multi_line)
-    return shape_landing(rows, name, F.lit(path), exclude_title_keywords, exclude_companies)
+    return shape_landing(rows, name, F.col("path"), exclude_title_keywords, exclude_companies)
 
 
 def shape_landing(
@@ -139,17 +168,11 @@ def shape_landing(
 
 
 def landing_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Stream of the CSV files that land in a folder, with the eight columns in order."""
+    """Stream of the CSV files that land in a folder: ``_file`` and ``seen_at``, its time of writing."""
     return (
-        spark.readStream.schema(LANDING)
-        .option("header", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .csv(folder)
+        spark.readStream.format("text").option("wholetext", True).load(folder)
         .select(
-            *LANDING_COLUMNS,
             F.col("_metadata.file_path").alias("_file"),
-            F.col("_metadata.file_block_start").alias("_block"),
             F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("seen_at"),
         )
     )
@@ -161,15 +184,18 @@ def stream_postings(
     exclude_title_keywords: list[str] | None = None,
     exclude_companies: list[str] | None = None,
 ) -> DataFrame:
-    """Postings of one micro-batch of :func:`landing_stream`.
+    """Postings of one micro-batch of :func:`landing_stream`, each file by its own header.
 
     They are seen at the time their file was written, so a replay of the batch
-    gives the same sightings.
+    gives the same sightings. ``pos`` orders the files of a batch by name.
     """
-    raw = F.to_json(F.struct(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in sorted(LANDING_COLUMNS)]))
-    numbered = batch.withColumn("raw", raw).withColumn("_m", F.monotonically_increasing_id()).transform(_with_row_numbers)
-    rows = numbered.withColumn("pos", F.col("row_no"))
-    return shape_landing(rows, name, F.col("_file"), exclude_title_keywords, exclude_companies)
+    spark = batch.sparkSession
+    files = [(r["_file"], r["seen_at"]) for r in batch.select("_file", "seen_at").distinct().orderBy("_file").collect()]
+    times = spark.createDataFrame(files, "path string, seen_at timestamp_ntz")
+    rows = read_landing(spark, [file for file, _ in files])
+    # One row per file; the path of a row is that file.
+    rows = rows.join(F.broadcast(times), "path")
+    return shape_landing(rows, name, F.col("path"), exclude_title_keywords, exclude_companies)
 
 
 def read_profile_texts(spark: SparkSession, paths: list[str]) -> DataFrame:

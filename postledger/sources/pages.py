@@ -19,6 +19,7 @@ from postledger.functions.flags import (
     LOGIN_PHRASES,
     REMOTE_WORDS,
     blocked,
+    decode_references,
     easy_apply,
     remote_text,
     visible_text,
@@ -270,7 +271,7 @@ def page_flags(pages: DataFrame, site: str, key: str = "page_id") -> DataFrame:
     return pages.select(
         F.col(key).cast("string").alias("page_key"),
         "url",
-        clean(title).alias("title"),
+        clean(decode_references(title)).alias("title"),
         blocked(visible_text(F.col("html")), LAYOUTS[site].blocked_phrases).alias("blocked"),
     )
 

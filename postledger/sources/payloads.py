@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from postledger.functions.text import blank_to_null, or_default, strip
 from postledger.schemas import PAGE_RESULT, POSTING, conform
+from postledger.sources.files import with_row_numbers
 
-_ITEM_BITS = 32  # pos = document number in the high bits, item number in the low ones
+# Elements between the root and the items.
+FEED_PARENTS = ["channel", "items", "feed"]
 
 # Child elements by meaning, in the order they are tried.
 FEED_FIELDS = {
@@ -27,10 +29,26 @@ def read_documents(spark: SparkSession, paths: list[str], per_line: bool = False
     """
     return (
         spark.read.text(paths, wholetext=not per_line)
-        .select(F.col("_metadata.file_path").alias("doc_key"), F.col("value").alias("body"))
+        .select(
+            F.col("_metadata.file_path").alias("doc_key"),
+            F.col("value").alias("body"),
+            F.col("_metadata.file_block_start").alias("block"),
+        )
     )
 
 
+def _numbered(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """Add ``all_no``, from 1 over the items of all documents, by document and place."""
+    block = F.col("block") if "block" in documents.columns else F.spark_partition_id().cast("bigint")
+    return with_row_numbers(
+        items.withColumns({"_file": F.col("doc_key"), "_block": block, "_m": F.monotonically_increasing_id()})
+    )
+
+
+def _kept(documents: DataFrame) -> list[str]:
+    return [c for c in ("doc_key", "block") if c in documents.columns]
+
+
 def json_postings(documents: DataFrame, name: str) -> DataFrame:
     """Postings of API payloads ``{"jobs": [...]}`` in column ``body``.
 
@@ -38,9 +56,13 @@ def json_postings(documents: DataFrame, name: str) -> DataFrame:
     field, with sorted keys. Documents that do not parse give no rows; see
     :func:`broken_documents`.
     """
-    items = documents.select(
-        "doc_key", F.posexplode(F.from_json("body", "jobs array<string>").getField("jobs")).alias("at", "item")
+    items = _numbered(
+        documents,
+        documents.select(*_kept(documents), F.explode(F.from_json("body", "jobs array<string>").getField("jobs")).alias("item")),
     )
+    # The number 0, unlike the text "0", is no id.
+    parsed = F.try_parse_json("item")
+    zero = (F.schema_of_variant(F.try_variant_get(parsed, "$.id", "variant")) != "STRING") & F.col("f.id").isin("0", "0.0", "false")
     fields = F.from_json(
         "item",
         "id string, url string, title string, company_name string, "
@@ -49,7 +71,7 @@ def json_postings(documents: DataFrame, name: str) -> DataFrame:
     return conform(
         items.withColumn("f", fields).select(
             F.lit(name).alias("source"),
-            F.coalesce(blank_to_null(F.col("f.id")), F.col("f.url"), F.lit("None")).alias("source_id"),
+            F.coalesce(F.when(~F.coalesce(zero, F.lit(False)), blank_to_null(F.col("f.id"))), F.col("f.url"), F.lit("None")).alias("source_id"),
             or_default(F.col("f.title"), "Untitled").alias("title"),
             or_default(F.col("f.company_name"), "Unknown").alias("company"),
             or_default(F.col("f.candidate_required_location"), "Remote").alias("location"),
@@ -57,8 +79,8 @@ def json_postings(documents: DataFrame, name: str) -> DataFrame:
             or_default(F.col("f.description"), "").alias("description"),
             F.col("f.publication_date").alias("posted_at"),
             F.lit(True).alias("remote"),
-            F.to_json(F.try_parse_json("item")).alias("raw"),
-            F.col("at").cast("bigint").alias("pos"),
+            F.to_json(parsed).alias("raw"),
+            (F.col("all_no") - 1).alias("pos"),
         ),
         POSTING,
     )
@@ -71,6 +93,14 @@ def broken_documents(documents: DataFrame) -> DataFrame:
     )
 
 
+def broken_feeds(documents: DataFrame) -> DataFrame:
+    """Documents that are not well-formed XML, with an error text."""
+    parsed = F.from_xml("body", "_bad string", {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})
+    return documents.where(F.col("body").isNull() | parsed["_bad"].isNotNull()).select(
+        "doc_key", F.lit("feed is not well-formed XML").alias("error")
+    )
+
+
 def _item_schema() -> str:
     names = sorted({name for group in FEED_FIELDS.values() for name in group})
     cells = ", ".join(f"`{n}`: array<struct<_VALUE: string>>" for n in names if n != "link")
@@ -93,27 +123,43 @@ def feed_postings(
     """Postings of RSS and Atom documents in column ``body``.
 
     Items of a document come from its ``item`` elements, or from its ``entry``
-    elements if it has none. Names without a prefix are tried before prefixed ones.
+    elements if it has none, under the root or up to two elements of FEED_PARENTS
+    below it. Names without a prefix are tried before prefixed ones. An item without
+    id and link is named by its number over all documents of the feed.
     """
     item = _item_schema()
-    shape = f"channel array<struct<item: array<{item}>>>, entry array<{item}>"
+    inner = f"item: array<{item}>, entry: array<{item}>"
+    middle = ", ".join(f"{name}: array<struct<{inner}>>" for name in FEED_PARENTS)
+    shape = ", ".join(f"{name} array<struct<{inner}, {middle}>>" for name in FEED_PARENTS) + f", {inner.replace(':', '')}"
     options = {"ignoreSurroundingSpaces": "false"}
     parsed = documents.select(
-        "doc_key",
+        *_kept(documents),
         F.from_xml("body", shape, options).alias("p"),
         F.from_xml("body", shape, {**options, "ignoreNamespace": "true"}).alias("l"),
     )
 
     def items_of(doc: str) -> Column:
-        listed = F.flatten(F.transform(F.col(f"{doc}.channel"), lambda c: F.coalesce(c["item"], F.array())))
-        return F.when(F.size(listed) > 0, listed).otherwise(F.col(f"{doc}.entry"))
+        none = F.array().cast(f"array<{item}>")
+
+        def below(kind: str, where: Column) -> Column:
+            parts = [F.coalesce(where[kind], none)]
+            for name in FEED_PARENTS:
+                outer = lambda c: F.concat(
+                    F.coalesce(c[kind], none),
+                    *[F.coalesce(F.flatten(F.transform(c[m], lambda d: F.coalesce(d[kind], none))), none) for m in FEED_PARENTS],
+                )
+                parts.append(F.coalesce(F.flatten(F.transform(where[name], outer)), none))
+            return F.concat(*parts)
+
+        listed = below("item", F.col(doc))
+        return F.when(F.size(listed) > 0, listed).otherwise(below("entry", F.col(doc)))
 
     strict, loose = items_of("p"), items_of("l")
-    rows = parsed.select(
-        "doc_key",
-        F.posexplode(
-            F.arrays_zip(F.coalesce(strict, loose).alias("plain"), loose.alias("loose"))
-        ).alias("at", "item"),
+    # Without a namespace prefix both readings list the same items; else only the loose one does.
+    both = F.when(F.size(strict) == F.size(loose), strict).otherwise(loose)
+    rows = _numbered(
+        documents,
+        parsed.select(*_kept(documents), F.explode(F.arrays_zip(both.alias("plain"), loose.alias("loose"))).alias("item")),
     )
     plain, other = F.col("item.plain"), F.col("item.loose")
     text = {field: _first_text(plain, other, names) for field, names in FEED_FIELDS.items()}
@@ -125,7 +171,7 @@ def feed_postings(
             F.coalesce(
                 blank_to_null(text["source_id"]),
                 blank_to_null(F.col("link")),
-                F.concat(F.lit(f"{feed_url}#"), (F.col("at") + 1).cast("string")),
+                F.concat(F.lit(f"{feed_url}#"), F.col("all_no").cast("string")),
             ).alias("source_id"),
             or_default(text["title"], "Untitled").alias("title"),
             or_default(text["company"], default_company).alias("company"),
@@ -133,7 +179,7 @@ def feed_postings(
             or_default(text["description"], "").alias("description"),
             text["posted_at"].alias("posted_at"),
             F.to_json(F.struct(F.lit(feed_url).alias("feed_url"))).alias("raw"),
-            F.col("at").cast("bigint").alias("pos"),
+            (F.col("all_no") - 1).alias("pos"),
         ),
         POSTING,
     )

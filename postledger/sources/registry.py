@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 
 from postledger.sources.files import csv_postings
-from postledger.sources.payloads import feed_postings, json_postings, read_documents
+from postledger.sources.payloads import broken_documents, broken_feeds, feed_postings, json_postings, read_documents
 
 
 @dataclass
@@ -34,15 +34,24 @@ def _csv(spark: SparkSession, source: Source) -> DataFrame:
     )
 
 
+def _refuse(broken: DataFrame) -> None:
+    """A document that cannot be read fails its source, as a failed fetch would."""
+    first = broken.orderBy("doc_key").first()
+    if first:
+        raise ValueError(f"{first['doc_key']}: {first['error']}")
+
+
 def _json(spark: SparkSession, source: Source) -> DataFrame:
     options = source.options
     documents = read_documents(spark, [options["path"]], options.get("per_line", False))
+    _refuse(broken_documents(documents))
     return json_postings(documents, source.name)
 
 
 def _feed(spark: SparkSession, source: Source) -> DataFrame:
     options = source.options
     documents = read_documents(spark, [options["path"]], options.get("per_line", False))
+    _refuse(broken_feeds(documents))
     return feed_postings(
         documents, source.name, options.get("url", options["path"]), options.get("default_company", "Unknown")
     )

@@ -92,6 +92,25 @@ def incremental_scan(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def write_running(stream: DataFrame, root: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Keep :func:`running_sightings` in a folder: each micro-batch writes the keys it changed.
+
+    Running a batch again replaces its folder. No row passes the driver.
+    """
+    writer = (
+        running_sightings(stream).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+        .foreachBatch(lambda rows, batch_id: rows.write.mode("overwrite").parquet(f"{root.rstrip('/')}/batch={batch_id}"))
+    )
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def read_running(spark: SparkSession, root: str) -> DataFrame:
+    """The newest row of every key written by :func:`write_running`."""
+    rows = spark.read.option("basePath", root).parquet(f"{root.rstrip('/')}/batch=*")
+    value = F.struct("seen_count", "first_seen_at", "last_seen_at", "title")
+    return rows.groupBy("source", "source_id").agg(F.max_by(value, "batch").alias("v")).select("source", "source_id", "v.*")
+
+
 def running_sightings(stream: DataFrame) -> DataFrame:
     """Streaming form of the sightings fold: count, first, last and latest title per key.
 

@@ -22,8 +22,8 @@ def test_table_forms_agree_with_list(spark):
     table = spark.createDataFrame([(f,) for f in fragments], "fragment string")
     by_list = kept(exclusion.exclude_companies(rows, fragments))
     assert kept(exclusion.exclude_companies_by_table(rows, table)) == by_list
-    assert kept(exclusion.exclude_companies_by_table(rows, table, inline_rows=0)) == by_list
-    assert kept(exclusion.exclude_companies_by_table(rows, table.limit(0), inline_rows=0)) == kept(rows)
+    assert kept(exclusion.exclude_companies_by_table(rows, table)) == by_list
+    assert kept(exclusion.exclude_companies_by_table(rows, table.limit(0))) == kept(rows)
 
 
 def test_title_keywords(spark):
