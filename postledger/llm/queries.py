@@ -43,11 +43,11 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.exact_groups(table(spark, sf_dir, "documents"))
+    return exact.exact_groups(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
