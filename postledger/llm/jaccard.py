@@ -32,37 +32,79 @@ def prefix_length(n: int) -> int:
     return n - -(-3 * n // 4) + 1
 
 
+def part_sizes(grams: np.ndarray) -> bytes:
+    """How many n-grams fall into each of a power of two of hash ranges, about four in each."""
+    bits = max(4, int(len(grams) // 4).bit_length())
+    n = np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(n, 255).astype(np.uint8).tobytes()
+
+
+def part_bound(x: bytes, y: bytes) -> int | None:
+    """Upper bound of the common n-grams: no range holds more than its smaller side. None if a range is full."""
+    a, b = (np.frombuffer(z, dtype=np.uint8) for z in (x, y))
+    if (a == 255).any() or (b == 255).any():
+        return None
+    k = min(len(a), len(b))
+    return int(np.minimum(*(z.astype(np.int64).reshape(k, -1).sum(axis=1) for z in (a, b))).sum())
+
+
+def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x, n, y, m = (batch.column(i).to_pylist() for i in (2, 3, 4, 5))
+        good = []
+        for i in range(batch.num_rows):
+            bound = part_bound(x[i], y[i])
+            good.append(bound is None or bound >= least_common(n[i], m[i]))
+        mask = pa.array(good, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+
+
+def plausible(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs that the sizes of their sets' parts leave possible.
+
+    This is the suffix filter before any text moves: both sets are cut at the same
+    hashes and each part bounds what can be common. ``parts`` is about a tenth of
+    the text and drops nearly all pairs that share little but a frequent passage.
+    """
+    kind = parts.schema["doc_id"].dataType.simpleString()
+    one = lambda name, x: parts.select(F.col("doc_id").alias(name), F.col("parts").alias(x), F.col("n").alias(f"n{x}"))
+    both = pairs.join(one("a", "x"), "a").join(one("b", "y"), "b").select("a", "b", "x", "nx", "y", "ny")
+    # A pair comes more than once only if an id does.
+    return both.mapInArrow(_plausible, f"a {kind}, b {kind}").distinct()
+
+
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document its set's size and 128-bit digest; per task the frequency of each class."""
     counts = np.zeros(CLASSES, dtype=np.int64)
-    names = ["doc_id", "n", "sum", "mix", "class", "count"]
+    names = ["doc_id", "n", "sum", "mix", "parts", "class", "count"]
     kind = None
     for batch in batches:
         kind = batch.schema.types[0]
-        n, total, mix = [], [], []
+        n, total, mix, parts = [], [], [], []
         for grams in shingle_sets(batch.column(1).to_pylist(), WIDTH):
             np.add.at(counts, (grams >> np.uint64(64 - CLASS_BITS)).astype(np.int64), 1)
             n.append(len(grams))
             total.append(grams.sum(dtype=np.uint64))
             mix.append(np.bitwise_xor.reduce(mixed(grams + np.uint64(1)), initial=np.uint64(0)))
+            parts.append(part_sizes(grams))
         none = pa.nulls(len(n), pa.int32())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (total, mix)), none, pa.nulls(len(n), pa.int64())], names
+            [batch.column(0), pa.array(n, pa.int64()), *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (total, mix)), pa.array(parts, pa.binary()), none, pa.nulls(len(n), pa.int64())], names
         )
     at = np.flatnonzero(counts)
     if kind is not None:
         gone = pa.nulls(len(at), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), kind), gone, gone, gone, pa.array(at.astype(np.int32)), pa.array(counts[at])], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), kind), gone, gone, gone, pa.nulls(len(at), pa.binary()), pa.array(at.astype(np.int32)), pa.array(counts[at])], names)
 
 
 def summaries(rows: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """Per document ``doc_id, n, sum, mix``; and the number of documents by class of n-gram."""
+    """Per document ``doc_id, n, sum, mix, parts``; and the number of documents by class of n-gram."""
     kind = rows.schema["doc_id"].dataType.simpleString()
-    read = cut(rows.mapInArrow(_summaries, f"doc_id {kind}, n long, sum long, mix long, class int, count long"), "ngram-sets")
+    read = cut(rows.mapInArrow(_summaries, f"doc_id {kind}, n long, sum long, mix long, parts binary, class int, count long"), "ngram-sets")
     counted = read.where("class is not null").groupBy("class").agg(F.sum("count").alias("n")).toPandas()
     counts = np.zeros(CLASSES, dtype=np.int64)
     counts[counted["class"].to_numpy(dtype=int)] = counted["n"].to_numpy()
-    return read.where("class is null").select("doc_id", "n", "sum", "mix"), counts
+    return read.where("class is null").select("doc_id", "n", "sum", "mix", "parts"), counts
 
 
 def prefix_rows(rows: DataFrame, counts: np.ndarray) -> DataFrame:
@@ -175,8 +217,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     1. Documents with equal sets form a class; its smallest id stands for it.
     2. Every class gives prefix rows of its rarest n-grams. In each group of one
        n-gram the first document leads, and only pairs with a leader are made: as
-       many as rows, however large the group. Those that pass the length and positional
-       filters are verified (suffix filter, then the exact count), which gives most links.
+       many as rows, however large the group. Those that pass the length, positional
+       and suffix filters are verified on the texts, which gives most links.
     3. Pairs of documents that meet in a group but are still in different components
        are all checked: rows outside a group's largest component are joined with the
        whole group. Pairs inside one component need no check, so nothing is lost and
@@ -211,7 +253,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = pairs_of(rows_of.join(leaders, ["gram", "salt"]).where(could_link("x", "y")), "x", "y").unionByName(
         pairs_of(leaders.where("salts > 1").join(heads, "gram").where(could_link("x", "y")), "x", "y")
     )
-    first = cut(first.distinct(), "ngram-pairs")
+    parts = filled.select("doc_id", "n", "parts")
+    first = cut(plausible(first.distinct(), parts), "ngram-pairs")
     links = verified(first, named).unionByName(members.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a != b"))
     nodes = components(links)
 
@@ -224,7 +267,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Of two rows outside the main component the pair is made from one side only.
     across = (F.col("root") != F.col("other")) & ((F.col("root") == F.col("main")) | (F.col("x.doc_id") < F.col("y.doc_id")))
     second = pairs_of(within.join(minor, "gram").where(across & could_link("x", "y")), "x", "y").join(first, ["a", "b"], "left_anti")
-    second = cut(second, "ngram-pairs")
+    second = cut(plausible(second, parts), "ngram-pairs")
     more = verified(second, named)
     nodes = components(nodes.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     return (
