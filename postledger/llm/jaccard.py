@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from postledger.llm.components import components
 from postledger.llm.rows import without
 from postledger.llm.shingles import mixed, shingle_sets
+from postledger.llm.workers import sliced
 from postledger.shared import cut
 
 WIDTH = 5
@@ -49,7 +50,7 @@ def part_bound(x: bytes, y: bytes) -> int | None:
 
 
 def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         x, n, y, m = (batch.column(i).to_pylist() for i in (2, 3, 4, 5))
         good = []
         for i in range(batch.num_rows):
@@ -78,7 +79,7 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(CLASSES, dtype=np.int64)
     names = ["doc_id", "n", "sum", "mix", "parts", "class", "count"]
     kind = None
-    for batch in batches:
+    for batch in sliced(batches):
         kind = batch.schema.types[0]
         n, total, mix, parts = [], [], [], []
         for grams in shingle_sets(batch.column(1).to_pylist(), WIDTH):
@@ -119,7 +120,7 @@ def prefix_rows(rows: DataFrame, counts: np.ndarray) -> DataFrame:
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = shared.value, set()
-        for batch in batches:
+        for batch in sliced(batches):
             ids = batch.column(0)
             out: list[list] = [[], [], [], []]
             for i, grams in enumerate(shingle_sets(batch.column(1).to_pylist(), WIDTH)):
@@ -177,7 +178,7 @@ def suffix_bound(x: np.ndarray, y: np.ndarray, need: int, depth: int = 3) -> int
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         good = []
         left, right = shingle_sets(batch.column(2).to_pylist(), WIDTH), shingle_sets(batch.column(3).to_pylist(), WIDTH)
         for x, y in zip(left, right):

@@ -8,14 +8,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from postledger.llm.workers import once
+from postledger.llm.workers import once, sliced
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 MAX_LANGUAGES = 256  # bounds the matrix that every task gets: 256 x 32768 x 4 bytes
 UNKNOWN = "und"
 SCALE = 1 << 20  # log-probabilities are whole multiples of 1/SCALE, so sums do not depend on their order
-PIECE = 1 << 20  # characters worked on at once
+PIECE = 1 << 18  # characters worked on at once
 
 
 def _letter_table() -> np.ndarray:
@@ -72,7 +72,7 @@ def gram_buckets(texts: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray,
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in sliced(batches):
         langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for places, held in _pieces(texts):
             names, label = np.unique([langs[i] for i in places], return_inverse=True)
@@ -153,14 +153,18 @@ def identify(docs: DataFrame, model: Model, carry: list[str], text_col: str = "t
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(*carry)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", lang_pred string, score double"
+    # A text that is carried anyway travels once.
+    at = carry.index(text_col) if text_col in carry else len(carry)
+    width = len(carry)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, scores = shared.value.predict(batch.column(batch.num_columns - 1).to_pylist())
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(scores)], [*batch.schema.names[:-1], "lang_pred", "score"])
+        for batch in sliced(batches):
+            names, scores = shared.value.predict(batch.column(at).to_pylist())
+            columns = [batch.column(i) for i in range(width)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(scores)], [*batch.schema.names[:width], "lang_pred", "score"])
 
-    return docs.select(*carry, F.col(text_col).alias("_text_to_score")).mapInArrow(score, schema)
+    sent = kept if at < width else docs.select(*carry, F.col(text_col).alias("_text_to_score"))
+    return sent.mapInArrow(score, schema)
 
 
 def language_labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
