@@ -6,6 +6,7 @@ import sys
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 
 sys.path.insert(0, str(Path(__file__).parent))
 
@@ -154,6 +155,22 @@ def test_vectors_equal_brute_force(spark):
     assert vectors.near_duplicate_vectors(frame_.limit(0)).count() == 0
 
 
+def test_windows_of_a_batch_are_those_of_each_text():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 400, size=n)) for n in (0, 49, 50, 51, 300, 700)] + ["a b " * 200, None]
+    batch = lambda at: pa.RecordBatch.from_arrays([pa.array(at), pa.array([texts[i] for i in at], pa.string())], ["doc_id", "text"])
+    rows = lambda at: [tuple(r.values()) for b in windows._windows(iter([batch(at)])) for r in b.to_pylist()]
+    together, alone = rows(list(range(len(texts)))), [r for i in range(len(texts)) for r in rows([i])]
+    assert together and sorted(together) == sorted(alone)
+    for i in (4, 6):
+        grams = shingles.chain(next(shingles.batch_words([texts[i]])), windows.WIDTH)
+        for f, salt in enumerate(windows.seeds()):
+            least = windows.PASSAGE - windows.WIDTH + 1
+            plain = windows.compact_windows(shingles.mixed(grams ^ salt), least)
+            assert plain == windows.compact_windows(shingles.mixed(grams ^ salt), least, windows.repeated(grams))
+            assert {r[3:] for r in together if r[1] == f and r[2] == i} <= set(plain)
+
+
 def test_compact_windows_cover_every_passage():
     rng = np.random.default_rng(5)
     for n, values in ((60, 1000), (200, 40), (90, 1), (10, 5)):
