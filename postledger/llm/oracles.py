@@ -69,4 +69,61 @@ select conv_id, count(*) as n_turns,
 from f group by conv_id
 """
 
-ORACLES = {"op7_exact_dedup": OP7, "op8_mix_sources": OP8, "op10_chat_format": OP10}
+# CRC-32 of the digits of an id, bit by bit.
+_CRC = """list_reduce(list_concat([4294967295::bigint], list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+    lambda h, b: list_reduce(list_concat([xor(h, b)], range(8)), lambda x, i: xor(x >> 1, case when x & 1 = 1 then 3988292384::bigint else 0::bigint end)))"""
+
+_FRAMED = "coalesce(strlen({0}::varchar)::varchar || ':' || {0}::varchar, '-')"
+_REST = " || ".join(_FRAMED.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+
+OP11 = f"""
+with recursive d as (
+  select doc_id, lang, sha256({_REST} || {_FRAMED.format("text")}) as leaf,
+         case when xor({_CRC}, 4294967295::bigint) % 3 = 0
+              then sha256({_REST} || {_FRAMED.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) end as changed
+  from documents),
+l as (
+  select *, row_number() over (partition by lang order by doc_id, leaf) - 1 as pos, count(*) over (partition by lang) as n from d),
+nodes as (
+  select lang, 0 as level, pos, leaf as node, n from l
+  union all
+  select lang, level + 1, pos // 8, sha256(string_agg(node, '' order by pos)), (any_value(n) + 7) // 8
+  from nodes where n > 1 group by lang, level, pos // 8),
+subroots as (
+  select lang, node as subroot, row_number() over (order by lang nulls first) - 1 as pos, count(*) over () as n from nodes where n = 1),
+tops as (
+  select 0 as level, pos, subroot as node, n from subroots
+  union all
+  select level + 1, pos // 8, sha256(string_agg(node, '' order by pos)), (any_value(n) + 7) // 8
+  from tops where n > 1 group by level, pos // 8),
+steps as (
+  select l.lang, l.pos, x.level, x.pos as place, x.node
+  from l join nodes x on x.lang is not distinct from l.lang and x.pos // 8 = l.pos // power(8, x.level + 1)::bigint and x.n > 1
+  union all
+  select l.lang, l.pos, 1000 + x.level, x.pos, x.node
+  from l join subroots s on s.lang is not distinct from l.lang join tops x on x.pos // 8 = s.pos // power(8, x.level + 1)::bigint and x.n > 1),
+sided as (
+  select steps.*, case when level < 1000 then steps.pos // power(8, level)::bigint else s.pos // power(8, level - 1000)::bigint end as own
+  from steps join subroots s on s.lang is not distinct from steps.lang),
+sides as (
+  select lang, pos, level, coalesce(string_agg(node, '' order by place) filter (where place < own), '') as left_side,
+         coalesce(string_agg(node, '' order by place) filter (where place > own), '') as right_side
+  from sided group by lang, pos, level),
+path as (
+  select *, row_number() over (partition by lang, pos order by level) as step from sides),
+proofs as (
+  select lang, pos, sha256(string_agg(left_side || right_side, '' order by level)) as proof_sha256, count(*) as height from path group by lang, pos),
+folded as (
+  select lang, pos, 0::bigint as step, coalesce(changed, leaf) as node from l
+  union all
+  select f.lang, f.pos, p.step, sha256(p.left_side || f.node || p.right_side)
+  from folded f join path p on p.lang is not distinct from f.lang and p.pos = f.pos and p.step = f.step + 1)
+select l.doc_id, l.leaf, s.subroot, t.node as root, coalesce(p.proof_sha256, sha256('')) as proof_sha256,
+       f.node as folded_root, f.node = t.node as verified
+from l join subroots s on s.lang is not distinct from l.lang
+cross join (select node from tops where n = 1) t
+left join proofs p on p.lang is not distinct from l.lang and p.pos = l.pos
+join folded f on f.lang is not distinct from l.lang and f.pos = l.pos and f.step = coalesce(p.height, 0)
+"""
+
+ORACLES = {"op7_exact_dedup": OP7, "op8_mix_sources": OP8, "op10_chat_format": OP10, "op11_merkle_manifest": OP11}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postledger.llm import chat, exact, jaccard, language, licenses, mixing, packing, pii, vectors, windows
+from postledger.llm import chat, exact, jaccard, language, licenses, merkle, mixing, packing, pii, secrets, vectors, whitening, windows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,4 +65,16 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(rows.unionByName(extra)))
 
 
-QUERIES = {f.__name__: f for f in (op1_personal_data, op2_language_id, op3_repeated_passages, op4_vector_near_dedup, op5_license_scan, op6_ngram_jaccard, op7_exact_dedup, op8_mix_sources, op9_pack, op10_chat_format)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.merkle_manifest(table(spark, sf_dir, "documents")).drop("copied")
+
+
+def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_personal_data, op2_language_id, op3_repeated_passages, op4_vector_near_dedup, op5_license_scan, op6_ngram_jaccard, op7_exact_dedup, op8_mix_sources, op9_pack, op10_chat_format, op11_merkle_manifest, op12_whiten, op13_secret_scan)}
