@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import array
-import base64
+import json
 import zlib
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -24,13 +25,31 @@ END = 0  # this id closes every document
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+def byte_of_letter() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for.
+
+    Printable bytes stand for themselves, the others in order for letters from 256 on.
+    """
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
 def text_coder(path: str) -> Callable[[str], list[int]]:
-    """The function from text to ids for a rank file."""
+    """The function from text to ids for a vocabulary file of the ``tokenizers`` library.
+
+    Its ids are those of that library without special tokens added around a text; the
+    strings of special tokens inside a text give these tokens' ids. Merges rank by
+    their id, which lets a faster encoder take the same steps.
+    """
     import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    with open(path, encoding="utf-8") as lines:
+        described = json.load(lines)
+    special = {t["content"]: t["id"] for t in described["added_tokens"]}
+    letters = byte_of_letter()
+    ranks = {bytes(letters[c] for c in token): i for token, i in described["model"]["vocab"].items() if token not in special}
+    return partial(tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special).encode, allowed_special="all")
 
 
 def cut_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
@@ -190,8 +209,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     """Where every piece of every document stands in sequences of at most ``capacity`` ids.
 
     Returns ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``. A
-    document's ids are those of the byte-level vocabulary at ``vocabulary`` (a rank
-    file, readable on every executor), then id 0.
+    document's ids are those of the byte-level vocabulary at ``vocabulary`` (a file of
+    the ``tokenizers`` library, readable on every executor), then id 0.
 
     NULL text counts as empty and gives the one id 0. NULL ids and repeated rows are
     documents of their own, each packed once. An empty table gives an empty table;

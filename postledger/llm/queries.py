@@ -12,10 +12,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def vocabulary() -> str:
-    """The rank file of the public byte-level vocabulary."""
+    """The file of the public byte-level vocabulary."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,10 +85,21 @@ def token_ids(texts):
     from tokenizers import Tokenizer
 
     coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    coder.encode_special_tokens = True
     return [coder.encode(t or "", add_special_tokens=False).ids + [0] for t in texts]
 
 
+def test_ids_are_those_of_the_dealt_tokenizer():
+    rng = random.Random(11)
+    pieces = ["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "'s", "'LL", "word", "Ünï", "日本", "𝔘", "123", "½", "_", "--", "\x00", "\u200d", "é", "...", "\r\n", "\U0001f600"]
+    texts = ["<|endoftext|> x", "", "<|endoftext|>" * 3, " <|endoftext|>", "x" * 3000, " " * 3000, "ab " * 200_000]
+    texts += ["".join(rng.choice(pieces) for _ in range(rng.randrange(12))) for _ in range(3000)]
+    texts += ["".join(chr(rng.choice([rng.randrange(0x300), rng.randrange(0x3000), rng.randrange(0xE000, 0x110000)])) for _ in range(rng.randrange(30))) for _ in range(3000)]
+    coder = packing.text_coder(vocabulary())
+    assert coder("<|endoftext|> x") == [50256, 2124]
+    for text, expected in zip(texts, token_ids(texts)):
+        assert [*coder(text), 0] == expected, text[:100]
+
+
 def check_packing(rows, out):
     ids = token_ids([t for _, t in rows])
     pieces = Counter()
