@@ -19,6 +19,7 @@ WIDTH = 5
 CLASSES = 1 << 18
 CLASS_BITS = 18
 SALTED_ROWS = 20_000  # documents of one frequent n-gram that share a first leader
+LOOK_BACK = 4  # earlier n-grams of a document that are compared before a pair is made again
 SEMI_ROWS = 1_000_000  # longest list of ids that is sent to every task: 8 MB
 
 # A pair links when 100 * common >= 75 * union, that is 7 * common >= 3 * (size + size).
@@ -223,7 +224,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     3. Pairs of documents that meet in a group but are still in different components
        are all checked: rows outside a group's largest component are joined with the
        whole group. Pairs inside one component need no check, so nothing is lost and
-       a group of near copies never gives all its pairs.
+       a group of near copies never gives all its pairs. Documents that differ too
+       much meet again in most of their n-grams; a pair is not made again if an n-gram
+       shortly before was common to both, as it was made in that one's group.
 
     NULL, empty and blank texts have no n-grams and link with nothing, nor do rows with
     a NULL id, whose ``component_id`` is NULL. Rows of one id count as one document, by
@@ -260,15 +263,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = components(links)
 
     placed = shared.select("gram", "doc_id", "size", "at").distinct().join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = cut(placed.withColumn("root", F.coalesce("root", "doc_id")), "ngram-placed")
+    before = F.collect_list("gram").over(Window.partitionBy("doc_id").orderBy("at").rowsBetween(-LOOK_BACK, -1))
+    placed = cut(placed.withColumn("root", F.coalesce("root", "doc_id")).withColumn("before", before), "ngram-placed")
     sizes = placed.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("n"))
     mixed_groups = sizes.groupBy("gram").agg(F.max_by("root", "n").alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("gram", "main")
-    within = placed.join(mixed_groups, "gram").select("gram", "main", "root", F.struct("doc_id", "size", "at").alias("x"))
+    within = placed.join(mixed_groups, "gram").select("gram", "main", "root", F.struct("doc_id", "size", "at", "before").alias("x"))
     minor = within.where("root != main").select("gram", F.col("root").alias("other"), F.col("x").alias("y"))
     # Of two rows outside the main component the pair is made from one side only.
     across = (F.col("root") != F.col("other")) & ((F.col("root") == F.col("main")) | (F.col("x.doc_id") < F.col("y.doc_id")))
-    second = pairs_of(within.join(minor, "gram").where(across & could_link("x", "y")), "x", "y").join(first, ["a", "b"], "left_anti")
-    second = cut(plausible(second, parts), "ngram-pairs")
+    # A pair that has just met in an earlier group of both documents was made there.
+    anew = ~F.arrays_overlap("x.before", "y.before")
+    second = cut(pairs_of(within.join(minor, "gram").where(across & could_link("x", "y") & anew), "x", "y"), "ngram-second")
+    second = cut(plausible(second.join(first, ["a", "b"], "left_anti"), parts), "ngram-pairs")
     more = verified(second, named)
     nodes = components(nodes.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     return (
