@@ -22,6 +22,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # Exclusion lists used by the catalogue.
 COMPANY_FRAGMENTS = ["supplier#00000001", "  SUPPLIER#000000003 ", "", "ß"]
+MATCH_SCORE = 25.0
+MATCH_SCORE_REQUIRED = 40.0
 TITLE_WORDS = ["rod", "Red ", " intern ", ""]
 MERGE_TITLES = ["Intern", "tion en", "ß"]
 MERGE_COMPANIES = ["#000000002", "supplier#00000005"]
@@ -81,6 +83,21 @@ def score_many_profiles_by_shuffle(spark, sf):
     return matching.score_many_profiles(fx.postings(spark, sf), profiles, small_rows=0)
 
 
+def match_profiles(spark, sf):
+    profiles = matching.build_profiles(fx.dialogue_texts(spark, sf), part="turn")
+    return matching.match_profiles(fx.postings(spark, sf), profiles, MATCH_SCORE)
+
+
+def match_profiles_required(spark, sf):
+    profiles = matching.build_profiles(fx.cv_texts(spark, sf))
+    return matching.match_profiles(fx.postings(spark, sf), profiles, MATCH_SCORE_REQUIRED, small_rows=0)
+
+
+def best_matches(spark, sf):
+    profiles = matching.build_profiles(fx.dialogue_texts(spark, sf), part="turn")
+    return matching.best_matches(fx.postings(spark, sf), profiles, (F.col("profile_id") % 4).cast("int"))
+
+
 def token_frequency(spark, sf):
     exploded = fx.table(spark, sf, "documents").select("lang", F.explode(tokens(F.col("text"))).alias("token"))
     return exploded.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n"))
@@ -609,6 +626,9 @@ QUERIES: dict[str, Query] = {
     "profile_keywords": profile_keywords,
     "score_many_profiles": score_many_profiles,
     "score_many_profiles_by_shuffle": score_many_profiles_by_shuffle,
+    "match_profiles": match_profiles,
+    "match_profiles_required": match_profiles_required,
+    "best_matches": best_matches,
     "token_frequency": token_frequency,
     "exclude_companies": exclude_companies,
     "exclude_companies_table": exclude_companies_table,

@@ -11,6 +11,8 @@ from postledger.plans.catalogue import (
     MERGE_COMPANIES,
     MERGE_TITLES,
     TITLE_WORDS,
+    MATCH_SCORE,
+    MATCH_SCORE_REQUIRED,
 )
 from postledger.plans.fixtures import REQUIRED
 
@@ -192,6 +194,16 @@ select source_id, who as profile_id, n as n_matched,
 from hit"""
 
 
+def _above(pairs: str, least: float) -> str:
+    return f"select * from ({pairs}) where match_score >= {least}"
+
+
+def _best(pairs: str, k: str) -> str:
+    return f"""select source_id, profile_id, rank, n_matched, match_score from (
+  select *, row_number() over (partition by profile_id order by match_score desc, source_id) as rank from ({pairs}) where match_score > 0)
+where rank <= {k}"""
+
+
 # --- exclusion and merging ------------------------------------------------------
 
 _FRAGMENTS = [f for f in COMPANY_FRAGMENTS if f.strip()]
@@ -425,6 +437,9 @@ select b.item_id as profile_id,
 from (select item_id, coalesce((select list(tok order by r) from top where who = item_id), cast([] as varchar[])) as k from benchmark) b""",
     "score_many_profiles": _pairs("select conv_id as who_id, turn as part, text as body from conversations", False),
     "score_many_profiles_by_shuffle": _pairs("select item_id as who_id, 0 as part, text as body from benchmark", True),
+    "match_profiles": _above(_pairs("select conv_id as who_id, turn as part, text as body from conversations", False), MATCH_SCORE),
+    "match_profiles_required": _above(_pairs("select item_id as who_id, 0 as part, text as body from benchmark", True), MATCH_SCORE_REQUIRED),
+    "best_matches": _best(_pairs("select conv_id as who_id, turn as part, text as body from conversations", False), "profile_id % 4"),
     "token_frequency": f"select lang, tok as token, count(*) as n from (select lang, unnest({tokens('text')}) as tok from documents) group by lang, tok",
     "exclude_companies": f"with {POSTINGS} select source_id, company from postings where company is null or not ({EXCLUDED})",
     "exclude_companies_table": BY_TABLE,

@@ -55,6 +55,29 @@ def test_long_chain_of_dependencies(spark):
     assert sorted(r.pos for r in got.collect()) == one_by_one(rows) == list(range(0, 60, 2))
 
 
+def test_chains_take_logarithmic_rounds(spark, monkeypatch):
+    # One chain of 100,000 rows, another that ends at a row with two earlier ones.
+    n = 100_000
+    rows = [(i, f"i{(i + 1) // 2}", f"u{i // 2}") for i in range(n)]
+    rows += [(n, "a", "x"), (n + 1, "b", "y"), (n + 2, "a", "y"), *((n + 3 + i, f"c{(i + 1) // 2}", f"y{(i + 2) // 2}") for i in range(50))]
+    writes = []
+    written = dedup.cut
+    monkeypatch.setattr(dedup, "cut", lambda df, label: (writes.append(label), written(df, label))[1])
+    got = dedup.greedy_matching(spark.createDataFrame(rows, "pos bigint, id string, url string"))
+    assert sorted(r.pos for r in got.collect()) == one_by_one(rows)
+    assert len(writes) <= 20
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_sparse_rows_with_chains_and_odd_spellings(spark, seed):
+    # Most rows have one earlier row: chains of all lengths, forks, and guards.
+    rng = random.Random(100 + seed)
+    rows = random_rows(rng, 400, 300, 260)
+    for exact in (False, True):
+        got = dedup.dedup_two_keys(spark.createDataFrame(rows, SCHEMA), exact)
+        assert sorted(r.pos for r in got.collect()) == one_by_one(rows, exact)
+
+
 def test_heavy_id_and_repeated_pairs(spark):
     rows = [(i, "hot" if i % 3 else f"i{i}", f"u{i % 7}") for i in range(300)]
     got = dedup.dedup_two_keys(spark.createDataFrame(rows, SCHEMA))
