@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from postledger.llm.components import components
 from postledger.llm.rows import without
 from postledger.llm.shingles import mixed, shingle_sets
-from postledger.llm.workers import sliced
+from postledger.llm.workers import short_batches, sliced
 from postledger.shared import cut
 
 WIDTH = 5
@@ -233,6 +233,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     one of its texts, so ids should be unique; repeated rows are repeated in the
     result. An empty table gives an empty table; other columns are not read.
     """
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sets, counts = summaries(rows)
     filled = sets.where("n > 0 and doc_id is not null")
