@@ -267,7 +267,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     before = F.collect_list("gram").over(Window.partitionBy("doc_id").orderBy("at").rowsBetween(-LOOK_BACK, -1))
     placed = cut(placed.withColumn("root", F.coalesce("root", "doc_id")).withColumn("before", before), "ngram-placed")
     sizes = placed.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed_groups = sizes.groupBy("gram").agg(F.max_by("root", "n").alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("gram", "main")
+    mixed_groups = sizes.groupBy("gram").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("gram", "main")
     within = placed.join(mixed_groups, "gram").select("gram", "main", "root", F.struct("doc_id", "size", "at", "before").alias("x"))
     minor = within.where("root != main").select("gram", F.col("root").alias("other"), F.col("x").alias("y"))
     # Of two rows outside the main component the pair is made from one side only.
