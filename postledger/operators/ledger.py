@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -9,10 +10,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from postledger.functions.text import display_company
 from postledger.operators.ids import arrival_ids
 from postledger.schemas import COMPANIES, JOBS, JOB_DEFAULTS, conform
-from postledger.shared import cut
+from postledger.shared import SMALL_ROWS, cut
 
 KEY = ["source", "source_id"]
 
+# Largest fold, in characters of its texts, that is broadcast to the stored side.
+SMALL_TEXT = 32_000_000
+
 # Attributes that the latest sighting overwrites, also by NULL.
 ATTRIBUTES = [
     "company", "title", "location", "remote", "url", "description", "posted_at",
@@ -71,16 +75,17 @@ def combine_folds(folds: DataFrame) -> DataFrame:
     )
 
 
-def upsert_folds(state: DataFrame, fold: DataFrame) -> DataFrame:
+def upsert_folds(state: DataFrame, fold: DataFrame, how: str = "full_outer") -> DataFrame:
     """New state from the old one and a fold of new sightings, joined on the key.
 
     Both sides have one row per key. Unmatched state stays, unmatched folds are
     inserted with status ``new``, matched rows keep first time and status, count
-    up, and take the attributes of whichever side saw the posting last.
+    up, and take the attributes of whichever side saw the posting last. With
+    ``how="left"`` only the rows of the old state are returned.
     """
     old, new = state.alias("old"), fold.alias("new")
     on = [F.col(f"old.{k}") == F.col(f"new.{k}") for k in KEY]
-    joined = old.join(new, on, "full_outer")
+    joined = old.join(new, on, how)
     has_old, has_new = F.col("old.seen_count").isNotNull(), F.col("new.seen_count").isNotNull()
     newer = has_new & (
         ~has_old
@@ -146,6 +151,68 @@ def grow_companies(companies: DataFrame, batch: DataFrame) -> DataFrame:
     return companies.unionByName(conform(numbered, COMPANIES))
 
 
+@dataclass
+class BucketUpsert:
+    """New rows of the touched buckets, new companies, and counts per source."""
+
+    jobs: DataFrame
+    companies: DataFrame
+    counts: DataFrame
+    buckets: list[int]
+
+
+def _fits(fold: DataFrame) -> bool:
+    """Whether a stored fold is small by rows and by the lengths of its texts."""
+    texts = [f.name for f in fold.schema.fields if f.dataType.simpleString() in ("string", "array<string>")]
+    size = [F.length(F.col(c).cast("string")) for c in texts]
+    chars = F.sum(sum((F.coalesce(n, F.lit(0)) for n in size), F.lit(0).cast("bigint")))
+    rows, total = fold.agg(F.count(F.lit(1)), F.coalesce(chars, F.lit(0))).first()
+    return rows <= SMALL_ROWS and total <= SMALL_TEXT
+
+
+def upsert_buckets(
+    stored: Callable[[list[int]], DataFrame], companies: DataFrame, batch: DataFrame, top_id: int, bucket: Column
+) -> BucketUpsert:
+    """Fold a batch into the buckets of the jobs table that its keys fall into.
+
+    ``stored`` reads the jobs of some buckets, ``bucket`` is the bucket of a key and
+    ``top_id`` the largest id in use. A fold of checked size is broadcast, so stored
+    rows stay in the tasks that read them; a larger one meets them by shuffle and the
+    result is gathered by bucket. Results are those of :func:`upsert_postings`.
+    """
+    start = companies.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    fresh_names = company_names(batch).join(companies.select("name"), "name", "left_anti")
+    added = conform(arrival_ids(fresh_names, ["first_seen_at", "pos"], start), COMPANIES)
+    numbers = companies.unionByName(added).select(F.col("name").alias("company"), F.col("id").alias("company_id"))
+    fold = fold_sightings(batch.withColumn("company", display_company(F.col("company"))))
+    named = cut(fold.join(numbers, "company", "left").drop("company"), "fold")
+    # No more numbers than buckets.
+    touched = sorted(r[0] for r in named.select(bucket.alias("b")).distinct().collect())
+    jobs = conform(stored(touched), JOBS, JOB_DEFAULTS)
+    small = _fits(named)
+
+    keys = named.select(*KEY)
+    known = jobs.select(*KEY)
+    if small:
+        known = known.join(F.broadcast(keys), KEY, "left_semi")
+    known = cut(known.join(keys, KEY, "left_semi") if not small else known, "known")
+    fresh = named.join(known, KEY, "left_anti")
+    ids = arrival_ids(fresh.select(*KEY, "first_seen_at", "first_pos"), ["first_seen_at", "first_pos"], top_id)
+    ids = ids.select(*KEY, "id")
+    inserted = upsert_folds(jobs.limit(0), fresh).drop("id").join(ids, KEY)
+    met = named.join(known, KEY, "left_semi")
+    kept = upsert_folds(jobs, F.broadcast(met) if small else met, "left")
+    kept, inserted = (conform(part, JOBS).withColumn("bucket", bucket) for part in (kept, inserted))
+    # New rows are gathered by bucket; stored ones are, if they have not moved.
+    kept = kept if small else kept.hint("rebalance", "bucket")
+    rows = kept.unionByName(inserted.hint("rebalance", "bucket"))
+    found = batch.groupBy("source").agg(F.count(F.lit(1)).alias("found_count"))
+    new = ids.groupBy("source").agg(F.count(F.lit(1)).alias("new_count"))
+    counts = found.join(new, "source", "left").fillna(0, ["new_count"])
+    counts = counts.withColumn("updated_count", F.col("found_count") - F.col("new_count"))
+    return BucketUpsert(rows, added, counts, touched)
+
+
 @dataclass
 class Upsert:
     """New jobs and companies tables, and counts per source."""

@@ -2,32 +2,30 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postledger.operators.exclusion import exclude_companies
-from postledger.operators.ledger import upsert_postings
+from postledger.operators.ledger import upsert_buckets
 from postledger.operators.matching import build_profiles, score_postings
 from postledger.operators.scans import scan_rows
-from postledger.shared import cut
+from postledger.shared import cut, shared_folder
+from postledger.sources import state
 from postledger.sources.registry import Source, load_source, select_sources
-from postledger.sources.state import (
-    commit_marker,
-    latest_version,
-    read_table,
-    write_snapshot,
-)
 
 
 @dataclass
 class ScanSettings:
-    """What a scan drops and whether it scores."""
+    """What a scan drops, whether it scores, and the buckets of a ledger it begins."""
 
     excluded_companies: list[str] = field(default_factory=list)
     cv: DataFrame | None = None
     required_keywords: list[str] = field(default_factory=list)
+    buckets: int = state.BUCKETS
 
 
 def _profile(settings: ScanSettings) -> DataFrame | None:
@@ -38,27 +36,38 @@ def _profile(settings: ScanSettings) -> DataFrame | None:
 
 
 def fetch_postings(
-    spark: SparkSession, sources: list[Source], settings: ScanSettings
+    spark: SparkSession, sources: list[Source], settings: ScanSettings, workers: int = 2
 ) -> tuple[DataFrame | None, dict[str, str]]:
     """Scored postings of all sources that could be read, and the errors of the rest.
 
     Each source is settled on its own, so a broken one cannot fail the others;
-    filtering and scoring run in the tasks that read it.
+    filtering and scoring run in the tasks that read it. Up to ``workers`` sources
+    are read side by side, each in a scheduler pool of its own, so that under FAIR
+    scheduling a slow one does not hold up the rest.
     """
+    shared_folder(spark)  # settled before threads ask for it
     profile = _profile(settings)
     if profile is not None:
         profile = cut(profile, "profile")
-    batch, errors = None, {}
-    for order, source in enumerate(sources):
+
+    def fetch(order: int, source: Source) -> tuple[DataFrame | None, str | None]:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"source-{order}")
         try:
             postings = exclude_companies(load_source(spark, source), settings.excluded_companies)
-            scored = cut(
-                score_postings(postings, profile).withColumn("source_order", F.lit(order)), f"fetch-{order}"
-            )
+            scored = score_postings(postings, profile).withColumn("source_order", F.lit(order))
+            return cut(scored, f"fetch-{order}"), None
         except Exception as error:  # any failure of a source is recorded and the scan goes on
-            errors[source.name] = str(error).split("\n")[0]
-            continue
-        batch = scored if batch is None else batch.unionByName(scored)
+            return None, str(error).split("\n")[0]
+
+    with ThreadPoolExecutor(max_workers=max(1, min(workers, len(sources)))) as threads:
+        running = [threads.submit(inheritable_thread_target(spark)(fetch), i, s) for i, s in enumerate(sources)]
+        done = [future.result() for future in running]
+    batch, errors = None, {}
+    for source, (scored, error) in zip(sources, done):
+        if scored is None:
+            errors[source.name] = error
+        else:
+            batch = scored if batch is None else batch.unionByName(scored)
     return batch, errors
 
 
@@ -71,55 +80,77 @@ def run_scan(
     names: list[str] | None = None,
     dry_run: bool = False,
     finished_ts: str | None = None,
+    workers: int = 2,
 ) -> DataFrame:
-    """Scan the chosen sources into the next ledger version; returns the summaries.
-
-    All rows of a scan carry ``batch_ts``, so running it again gives the same
-    ledger. The version becomes visible by its mark, after all tables are written.
-    The log's finish time is the time at which the counts were known, unless given.
-    A dry run reads, filters and scores, but writes nothing and counts no updates.
+    """Scan the chosen sources into the ledger; returns the summaries.
+
+    The log rows of the scan are committed open, without a finish time, before any
+    source is read, and closed in the version that brings the postings: a scan that
+    is killed stays visible as open rows. All rows carry ``batch_ts``. Of two
+    scans that end at once, the second merges its postings into what the first
+    committed. The log's finish time is the time at which the counts were known,
+    unless given. A dry run reads, filters and scores, but writes nothing and counts
+    no updates.
     """
     chosen = select_sources(sources, names)
     started = F.lit(batch_ts).cast("timestamp_ntz")
-    batch, errors = fetch_postings(spark, chosen, settings)
-    opened = spark.createDataFrame(
-        [(s.name, i, errors.get(s.name)) for i, s in enumerate(chosen)], "source string, source_order int, error string"
-    ).withColumn("started_at", started)
-
-    if dry_run or batch is None:
-        found = (
-            opened.select("source").withColumn("found_count", F.lit(0).cast("bigint")).limit(0)
-            if batch is None
-            else batch.groupBy("source").agg(F.count(F.lit(1)).alias("found_count"))
-        )
-        zero = F.lit(0).cast("bigint")
-        counts = found.withColumn("new_count", zero).withColumn("updated_count", zero)
-        result = None
-    else:
-        version = latest_version(spark, root)
-        jobs, companies, scans, applications = (
-            read_table(spark, root, version, t) for t in ("jobs", "companies", "scans", "applications")
-        )
-        # Arrival order over all sources: source by source, then as read.
-        sightings = batch.withColumn("seen_at", started).withColumn(
-            "pos", F.shiftleft(F.col("source_order").cast("bigint"), 52) + F.col("pos")
-        )
-        result = upsert_postings(jobs, companies, sightings)
-        counts = cut(result.counts, "counts")
-
-    summary = opened.join(counts, "source", "left").fillna(0, ["found_count", "new_count", "updated_count"])
+    order = spark.createDataFrame([(s.name, i) for i, s in enumerate(chosen)], "source string, source_order int")
+    zeros = {name: F.lit(0).cast("bigint") for name in ("found_count", "new_count", "updated_count")}
+    opening = None
     if not dry_run:
-        finished_ts = finished_ts or datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S")
-        log = scan_rows(opened, counts, F.lit(finished_ts).cast("timestamp_ntz"))
-        if result is None:
-            version = latest_version(spark, root)
-            jobs, companies, scans, applications = (
-                read_table(spark, root, version, t) for t in ("jobs", "companies", "scans", "applications")
+        opened = order.withColumn("started_at", started).withColumn("error", F.lit(None).cast("string"))
+        waiting = scan_rows(opened, order.select("source").withColumns(zeros), F.lit(None).cast("timestamp_ntz"))
+        opening = state.write_part(root, "scans", waiting.coalesce(1), state.OPEN)
+        state.commit_changes(spark, root, lambda manifest: manifest + opening, buckets=settings.buckets)
+
+    batch, errors = fetch_postings(spark, chosen, settings, workers)
+    failed = spark.createDataFrame([(s.name, errors.get(s.name)) for s in chosen], "source string, error string")
+    opened = order.join(failed, "source").withColumn("started_at", started)
+    counts = order.select("source").withColumns(zeros).limit(0)
+
+    if dry_run and batch is not None:
+        found = batch.groupBy("source").agg(F.count(F.lit(1)).alias("found_count"))
+        counts = found.withColumns({name: zeros[name] for name in ("new_count", "updated_count")})
+
+    if not dry_run:
+        if batch is not None:
+            # Arrival order over all sources: source by source, then as read.
+            sightings = batch.withColumn("seen_at", started).withColumn(
+                "pos", F.shiftleft(F.col("source_order").cast("bigint"), 52) + F.col("pos")
             )
-            tables = {"jobs": jobs, "companies": companies}
-        else:
-            tables = {"jobs": result.jobs, "companies": result.companies}
-        tables |= {"scans": scans.unionByName(log), "applications": applications}
-        write_snapshot(root, version + 1, tables)
-        commit_marker(spark, root, version + 1)
-    return summary.orderBy("source_order").select("source", "found_count", "new_count", "updated_count", "error")
+
+        def close(manifest: list[dict]) -> list[dict]:
+            nonlocal counts
+            paths = {part["path"] for part in opening}
+            parts = [part for part in manifest if part["path"] not in paths]
+            if batch is not None:
+                parts, counts = _merged(spark, root, parts, sightings, settings.buckets)
+            now = finished_ts or datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S")
+            log = scan_rows(opened, counts, F.lit(now).cast("timestamp_ntz"))
+            return parts + state.write_part(root, "scans", log.coalesce(1))
+
+        state.commit_changes(spark, root, close, buckets=settings.buckets)
+
+    summary = opened.join(counts, "source", "left").fillna(0, list(zeros))
+    return summary.orderBy("source_order").select("source", *zeros, "error")
+
+
+def _merged(
+    spark: SparkSession, root: str, parts: list[dict], sightings: DataFrame, buckets: int
+) -> tuple[list[dict], DataFrame]:
+    """The parts after an upsert of the sightings, and its counts per source."""
+    jobs = [part for part in parts if part["tbl"] == "jobs"]
+    buckets = next((part["buckets"] for part in jobs), buckets)
+    result = upsert_buckets(
+        lambda touched: state.read_parts(spark, "jobs", [part for part in jobs if part["bucket"] in set(touched)]),
+        state.read_parts(spark, "companies", [part for part in parts if part["tbl"] == "companies"]),
+        sightings,
+        max((part["top"] for part in jobs), default=0),
+        state.bucket_of(buckets),
+    )
+    rewritten = set(result.buckets)
+    parts = [part for part in parts if part["tbl"] != "jobs" or part["bucket"] not in rewritten]
+    parts += state.write_buckets(spark, root, result.jobs, buckets)
+    if not result.companies.isEmpty():
+        parts += state.write_part(root, "companies", result.companies)
+    return parts, cut(result.counts, "counts")

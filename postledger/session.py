@@ -9,6 +9,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Sources of a scan are read side by side, each in a pool of its own.
+    "spark.scheduler.mode": "FAIR",
     # Pages are large: keep the Arrow batches of the page walker small.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
 }
