@@ -348,7 +348,7 @@ from found group by page_key"""
 
 def _decoded(text: str) -> str:
     """The named references that the pages hold, & last."""
-    for name, plain in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("amp", "&")):
+    for name, plain in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("copy", "©"), ("middot", "·"), ("amp", "&")):
         text = f"replace({text}, '&{name};', '{plain}')"
     return text
 
