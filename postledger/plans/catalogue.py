@@ -14,7 +14,7 @@ from postledger.plans import fixtures as fx
 from postledger.plans.scan import ScanSettings, run_scan
 from postledger.shared import cut, new_path
 from postledger.sinks.files import export_jobs, write_landing
-from postledger.sources import files, pages, payloads, state
+from postledger.sources import feeds, files, pages, payloads, state
 from postledger.sources.registry import Source
 from postledger.streaming import incremental
 
@@ -488,7 +488,25 @@ def feed_source(spark, sf):
     path = new_path(spark, "feed")
     rows.write.text(path)
     documents = payloads.read_documents(spark, [path], per_line=True)
-    return _posting_columns(payloads.feed_postings(documents, "feed", "urn:feed", "Nobody")).drop("location", "remote")
+    return _posting_columns(feeds.feed_postings(documents, "feed", "urn:feed", "Nobody")).drop("location", "remote")
+
+
+def deep_feeds(spark, sf):
+    """Archives in which items stand at several depths, beside entries and inside items of other spaces."""
+    safe = lambda c: F.regexp_replace(fx._escaped(F.coalesce(c, F.lit(""))), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{fffe}\x{ffff}]", "")
+    item = F.concat(
+        F.lit("<item><m:box><title>inner</title></m:box><m:title>"), safe(F.col("title")), F.lit("</m:title><id>"),
+        F.col("source_id"), F.lit('</id><link/><m:link href="'), safe(F.col("url")), F.lit('"/></item>'),
+    )
+    deep = F.concat(F.lit("<x><y><m:z>"), item, F.lit("</m:z></y></x><entry><id>e</id></entry>"))
+    outer = F.concat(F.lit("<m:item>"), item, F.lit("<item><guid> second </guid></item></m:item>"))
+    entry = F.concat(F.lit("<a><m:entry><guid>"), F.col("source_id"), F.lit("</guid></m:entry></a>"))
+    body = F.when(F.col("pos") % 3 == 0, deep).when(F.col("pos") % 3 == 1, outer).otherwise(entry)
+    rows = fx.postings(spark, sf).select(F.concat(F.lit('<root xmlns:m="urn:m">'), body, F.lit("</root>")).alias("value"))
+    path = new_path(spark, "deep")
+    rows.write.text(path)
+    documents = payloads.read_documents(spark, [path], per_line=True)
+    return feeds.feed_postings(documents, "deep", "urn:deep").select("source_id", "title", "company", "url")
 
 
 def _tabs(spark, sf):
@@ -671,6 +689,7 @@ QUERIES: dict[str, Query] = {
     "csv_source": csv_source,
     "json_source": json_source,
     "feed_source": feed_source,
+    "deep_feeds": deep_feeds,
     "tab_results": tab_results,
     "tab_errors": tab_errors,
     "tab_summary": tab_summary,

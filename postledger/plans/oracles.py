@@ -559,6 +559,11 @@ from rows where not ({ANY_TITLE}) and not ({OUT_C})""",
 select 'feed' as source, case when atom or pos % 3 = 0 then source_id else url end as source_id, coalesce(nullif(t, ''), 'Untitled') as title,
   case when atom then 'Nobody' else coalesce(nullif(company, ''), 'ignored?') end as company, url,
   md5(case when atom then 's' else location end) as description_digest, case when atom then '2024-01-01' end as posted_at from r""",
+    "deep_feeds": f"""with {POSTINGS}, r as (select source_id, pos, url,
+  {strip(r"regexp_replace(coalesce(title, ''), '[\x00-\x08\x0b\x0c\x0e-\x1f\x{fffe}\x{ffff}]', '', 'g')")} as t from postings)
+select source_id, case when pos % 3 = 2 then 'Untitled' else coalesce(nullif(t, ''), 'Untitled') end as title, 'Unknown' as company,
+  case when pos % 3 <> 2 then url end as url from r
+union all select 'second', 'Untitled', 'Unknown', null from r where pos % 3 = 1""",
     "tab_results": f"""with {POSTINGS} select pos as "window", 0 as tab, "at", source_id, coalesce(title, '') as title, url
 from postings, (values (0), (1)) v("at")""",
     "tab_errors": f"""with {POSTINGS} select pos as "window", 2 as tab, case when location = 'es' then 'oops ' || source_id else source_id end as message from postings""",

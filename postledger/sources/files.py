@@ -19,15 +19,16 @@ BLOCK_ROWS = 500_000
 _FILE_BITS = 40  # pos = file order in the high bits, row number in the low ones
 
 
-def with_row_numbers(rows: DataFrame) -> DataFrame:
+def with_row_numbers(rows: DataFrame, settled: bool = False) -> DataFrame:
     """Add ``row_no``, from 1 within each file, and ``all_no``, from 1 over all files by name.
 
     Rows of one file block are numbered where they were read; blocks are shifted
     by the sizes of the blocks before them. The rows are settled first: files
-    could be split otherwise the next time they are read. The table of shifts has
-    one row per file block, not per row.
+    could be split otherwise the next time they are read; ``settled`` says that they
+    lie written already. The table of shifts has one row per file block, not per row.
     """
-    rows = cut(rows, "landed")
+    if not settled:
+        rows = cut(rows, "landed")
     blocks = rows.groupBy("_file", "_block").agg(F.min("_m").alias("_first"), F.count(F.lit(1)).alias("_n"))
     in_file = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     in_all = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)

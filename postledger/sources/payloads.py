@@ -1,27 +1,13 @@
-"""JSON API payloads, feeds and tab results, from landed text."""
+"""JSON API payloads and tab results, from landed text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postledger.functions.text import blank_to_null, or_default, strip
 from postledger.schemas import PAGE_RESULT, POSTING, conform
 from postledger.sources.files import with_row_numbers
 
-# Elements between the root and the items.
-FEED_PARENTS = ["channel", "items", "feed"]
-
-# Child elements by meaning, in the order they are tried.
-FEED_FIELDS = {
-    "title": ["title"],
-    "link": ["link"],
-    "source_id": ["guid", "id"],
-    "description": ["description", "summary", "content"],
-    "posted_at": ["pubDate", "published", "updated"],
-    "company": ["company", "author"],
-}
-
-
 def read_documents(spark: SparkSession, paths: list[str], per_line: bool = False) -> DataFrame:
     """Landed documents as text: ``doc_key`` (the file) and ``body``.
 
@@ -93,98 +79,6 @@ def broken_documents(documents: DataFrame) -> DataFrame:
     )
 
 
-def broken_feeds(documents: DataFrame) -> DataFrame:
-    """Documents that are not well-formed XML, with an error text."""
-    parsed = F.from_xml("body", "_bad string", {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})
-    return documents.where(F.col("body").isNull() | parsed["_bad"].isNotNull()).select(
-        "doc_key", F.lit("feed is not well-formed XML").alias("error")
-    )
-
-
-def _item_schema() -> str:
-    names = sorted({name for group in FEED_FIELDS.values() for name in group})
-    cells = ", ".join(f"`{n}`: array<struct<_VALUE: string>>" for n in names if n != "link")
-    return f"struct<{cells}, `link`: array<struct<_VALUE: string, _href: string>>>"
-
-
-def _first_text(plain: Column, loose: Column, names: list[str]) -> Column:
-    """Text of the first named child that has any; white space alone counts and gives ''."""
-    options = []
-    for name in names:
-        child = F.when(F.size(plain[name]) > 0, F.get(plain[name], F.lit(0))).otherwise(F.get(loose[name], F.lit(0)))
-        value = child.getField("_VALUE")
-        options.append(F.when(value != "", strip(value)))
-    return F.coalesce(*options)
-
-
-def feed_postings(
-    documents: DataFrame, name: str, feed_url: str, default_company: str = "Unknown"
-) -> DataFrame:
-    """Postings of RSS and Atom documents in column ``body``.
-
-    Items of a document come from its ``item`` elements, or from its ``entry``
-    elements if it has none, under the root or up to two elements of FEED_PARENTS
-    below it. Names without a prefix are tried before prefixed ones. An item without
-    id and link is named by its number over all documents of the feed.
-    """
-    item = _item_schema()
-    inner = f"item: array<{item}>, entry: array<{item}>"
-    middle = ", ".join(f"{name}: array<struct<{inner}>>" for name in FEED_PARENTS)
-    shape = ", ".join(f"{name} array<struct<{inner}, {middle}>>" for name in FEED_PARENTS) + f", {inner.replace(':', '')}"
-    options = {"ignoreSurroundingSpaces": "false"}
-    parsed = documents.select(
-        *_kept(documents),
-        F.from_xml("body", shape, options).alias("p"),
-        F.from_xml("body", shape, {**options, "ignoreNamespace": "true"}).alias("l"),
-    )
-
-    def items_of(doc: str) -> Column:
-        none = F.array().cast(f"array<{item}>")
-
-        def below(kind: str, where: Column) -> Column:
-            parts = [F.coalesce(where[kind], none)]
-            for name in FEED_PARENTS:
-                outer = lambda c: F.concat(
-                    F.coalesce(c[kind], none),
-                    *[F.coalesce(F.flatten(F.transform(c[m], lambda d: F.coalesce(d[kind], none))), none) for m in FEED_PARENTS],
-                )
-                parts.append(F.coalesce(F.flatten(F.transform(where[name], outer)), none))
-            return F.concat(*parts)
-
-        listed = below("item", F.col(doc))
-        return F.when(F.size(listed) > 0, listed).otherwise(below("entry", F.col(doc)))
-
-    strict, loose = items_of("p"), items_of("l")
-    # Without a namespace prefix both readings list the same items; else only the loose one does.
-    both = F.when(F.size(strict) == F.size(loose), strict).otherwise(loose)
-    rows = _numbered(
-        documents,
-        parsed.select(*_kept(documents), F.explode(F.arrays_zip(both.alias("plain"), loose.alias("loose"))).alias("item")),
-    )
-    plain, other = F.col("item.plain"), F.col("item.loose")
-    text = {field: _first_text(plain, other, names) for field, names in FEED_FIELDS.items()}
-    hrefs = F.filter(F.transform(other["link"], lambda link: link["_href"]), lambda href: href != "")
-    link = F.coalesce(text["link"], F.get(hrefs, F.lit(0)))
-    return conform(
-        rows.withColumn("link", link).select(
-            F.lit(name).alias("source"),
-            F.coalesce(
-                blank_to_null(text["source_id"]),
-                blank_to_null(F.col("link")),
-                F.concat(F.lit(f"{feed_url}#"), F.col("all_no").cast("string")),
-            ).alias("source_id"),
-            or_default(text["title"], "Untitled").alias("title"),
-            or_default(text["company"], default_company).alias("company"),
-            F.col("link").alias("url"),
-            or_default(text["description"], "").alias("description"),
-            text["posted_at"].alias("posted_at"),
-            F.to_json(F.struct(F.lit(feed_url).alias("feed_url"))).alias("raw"),
-            (F.col("all_no") - 1).alias("pos"),
-        ),
-        POSTING,
-    )
-
-
 def parse_tabs(payloads: DataFrame, column: str = "payload") -> DataFrame:
     """Tab results from JSON text; text that does not parse becomes an error row."""
     text = strip(F.col(column))

@@ -9,7 +9,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 
 from postledger.sources.files import csv_postings
-from postledger.sources.payloads import broken_documents, broken_feeds, feed_postings, json_postings, read_documents
+from postledger.sources.feeds import broken_feeds, feed_items, item_postings, read_feeds
+from postledger.sources.payloads import broken_documents, json_postings, read_documents
 
 
 @dataclass
@@ -50,10 +51,10 @@ def _json(spark: SparkSession, source: Source) -> DataFrame:
 
 def _feed(spark: SparkSession, source: Source) -> DataFrame:
     options = source.options
-    documents = read_documents(spark, [options["path"]], options.get("per_line", False))
-    _refuse(broken_feeds(documents))
-    return feed_postings(
-        documents, source.name, options.get("url", options["path"]), options.get("default_company", "Unknown")
+    items = feed_items(read_feeds(spark, [options["path"]], options.get("per_line", False)))
+    _refuse(broken_feeds(items))
+    return item_postings(
+        items, source.name, options.get("url", options["path"]), options.get("default_company", "Unknown")
     )
 
 

@@ -1,10 +1,12 @@
 import json
+import random
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
 
 from postledger.sinks.files import write_landing
-from postledger.sources import files, pages, payloads
+from postledger.sources import feeds, files, pages, payloads
 from postledger.sources.registry import Source, load_source, load_sources, select_sources
 
 
@@ -100,7 +102,7 @@ def test_feeds(spark):
     atom = """<feed xmlns="http://www.w3.org/2005/Atom"><title>f</title>
     <entry><title>E</title><link rel="x"/><link href=""/><link href="http://c"/><id>i1</id><summary>s</summary>
       <author><name>Bob</name></author><updated>2024</updated></entry></feed>"""
-    rows = payloads.feed_postings(documents(spark, rss, atom), "f", "urn:feed", "Dflt").collect()
+    rows = feeds.feed_postings(documents(spark, rss, atom), "f", "urn:feed", "Dflt").collect()
     got = {r.source_id: (r.title, r.company, r.url, r.description, r.posted_at) for r in rows}
     assert got == {
         "g1": ("One & two", "Dflt", "http://a", "<p>x</item></p>", "Mon"),
@@ -111,6 +113,59 @@ def test_feeds(spark):
     assert json.loads(rows[0].raw) == {"feed_url": "urn:feed"}
 
 
+def test_feed_items_at_any_depth(spark):
+    deep = "<a><b><c><d><item><title>deep</title><x><title>not a child</title></x><guid>g</guid></item></d></c></b><entry><id>e</id></entry></a>"
+    nested = "<r><item><guid>outer</guid><item><guid>inner</guid></item><title>after</title></item><m:item xmlns:m='u'><guid>no</guid></m:item></r>"
+    mixed = "<item xmlns:p='u'><p:entry><p:id>p</p:id><id></id><link/><title>a<!-- c -->b<i>c</i>d</title></p:entry></item>"
+    broken = ["<r><item></r>", "", None, "<r>&nbsp;<item/></r>", "plain"]
+    items = feeds.feed_items(documents(spark, deep, nested, mixed, *broken))
+    rows = feeds.item_postings(items, "f", "urn:feed").orderBy("pos").collect()
+    # An empty bare child hides the prefixed one; text ends at the first element below.
+    assert [(r.source_id, r.title) for r in rows] == [("g", "deep"), ("outer", "after"), ("inner", "Untitled"), ("urn:feed#4", "ab")]
+    assert sorted(r.doc_key for r in feeds.broken_feeds(items).collect()) == ["d3", "d4", "d5", "d6", "d7"]
+
+
+def test_feeds_against_a_tree(spark):
+    """The same items and fields as by a search of the whole tree, on random documents."""
+    rng = random.Random(5)
+    tags = ["item", "entry", "n:entry", "n:item", "title", "n:title", "guid", "id", "link", "n:link", "summary", "author", "x"]
+
+    def element(depth):
+        tag = rng.choice(tags)
+        href = f' href="{rng.choice(["", "h1", "h2"])}"' if tag.endswith("link") and rng.random() < 0.7 else ""
+        inside = "".join(element(depth + 1) if rng.random() < 0.6 else rng.choice(["", " ", "t", "&lt;", "<![CDATA[ q ]]>"]) for _ in range(rng.randrange(6) if depth < 6 else 0))
+        return f"<{tag}{href}>{inside}</{tag}>"
+
+    bodies = [f'<root xmlns:n="urn:n">{"".join(element(1) for _ in range(4))}</root>' for _ in range(300)]
+
+    def child(item, name):
+        plain = item.find(name)
+        return plain if plain is not None else item.find("{*}" + name)
+
+    def text(item, names):
+        found = [child(item, n) for n in names]
+        return next((c.text for c in found if c is not None and c.text), None)
+
+    want = []
+    for i, body in enumerate(bodies):
+        root = ElementTree.fromstring(body)
+        for item in root.findall(".//item") or root.findall(".//{*}entry"):
+            href = next((c.get("href") for c in item.findall("{*}link") if c.get("href")), None)
+            want.append((f"d{i}", *[text(item, names) for names in feeds.FEED_FIELDS.values()], href))
+    got = feeds.feed_items(documents(spark, *bodies)).orderBy("_block", "_m").select("_file", *feeds.FEED_FIELDS, "href").collect()
+    assert [tuple(r) for r in got] == want and len(want) > 500
+
+
+def test_feed_encoding_and_landed_files(spark, tmp_path):
+    write(tmp_path / "a.xml", '<?xml version="1.0" encoding="iso-8859-1"?><r><item><title>caf\xe9</title></item></r>', "iso-8859-1")
+    write(tmp_path / "b.xml", "\ufeff<r><item><title>\u00fc</title></item></r>")
+    rows = load_source(spark, Source("f", "rss", options={"path": str(tmp_path), "url": "u"})).orderBy("pos").collect()
+    assert [(r.source_id, r.title) for r in rows] == [("u#1", "caf\xe9"), ("u#2", "\u00fc")]
+    write(tmp_path / "c.xml", "<r>")
+    with pytest.raises(ValueError, match="c.xml"):
+        load_source(spark, Source("f", "rss", options={"path": str(tmp_path)}))
+
+
 def test_tabs(spark):
     good = json.dumps({"url": "u", "title": "t", "blocked": True, "rows": [{"source_id": "1", "title": "a"}, {"source_id": "2"}]})
     stream = f"{good}<<T>>  <<T>>not json<<T>>" + json.dumps({"error": True, "message": "m", "url": "v"}) + "<<T>>" + json.dumps({"url": "w"})
