@@ -16,7 +16,7 @@ from postledger.shared import cut, new_path
 from postledger.sinks.files import export_jobs, write_landing
 from postledger.sources import feeds, files, pages, payloads, state
 from postledger.sources.registry import Source
-from postledger.streaming import incremental
+from postledger.streaming import incremental, scans as streamed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -616,9 +616,9 @@ def scan_ledger(spark, sf):
     )
 
 
-def _landed_stream(spark, sf):
+def _landed_stream(spark, sf, seen=None):
     path = new_path(spark, "landed-stream")
-    seen = fx.sightings(spark, sf)
+    seen = fx.sightings(spark, sf) if seen is None else seen
     seen.repartition(6, "pos").write.parquet(path)
     return spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
@@ -631,6 +631,37 @@ def incremental_scan(spark, sf):
     return _iso(incremental.read_ledger(spark, root), "first_seen_at", "last_seen_at").drop("company", "url")
 
 
+def _streamed_ledger(spark, sf):
+    """Three micro-batches as scans; a scan row for each source and batch."""
+    root = new_path(spark, "streamed")
+    seen = fx.full_sightings(spark, sf).drop("match_score", "matched_keywords", "missing_keywords")
+    names = [r["source"] for r in seen.select("source").distinct().collect()]  # a handful of event types
+    streamed.scan_stream(
+        _landed_stream(spark, sf, seen), root, new_path(spark, "streamed-state"), names, settings=ScanSettings(["company 36"])
+    ).awaitTermination()
+    version = state.latest_version(spark, root)
+    return tuple(state.read_table(spark, root, version, name) for name in ("jobs", "companies", "scans"))
+
+
+def stream_ledger(spark, sf):
+    jobs, companies, _ = _streamed_ledger(spark, sf)
+    return _iso(reports.with_company(jobs, companies), "first_seen_at", "last_seen_at").select(
+        "source", "source_id", "company", "title", "first_seen_at", "last_seen_at", "seen_count", "status", "match_score"
+    )
+
+
+def stream_scans(spark, sf):
+    jobs, companies, scans = _streamed_ledger(spark, sf)
+    totals = scans.groupBy("source").agg(
+        F.count(F.lit(1)).alias("scans"), F.count("finished_at").alias("closed"),
+        *[F.sum(c).alias(c) for c in ("found_count", "new_count", "updated_count")],
+    )
+    ids = jobs.agg(F.max("id").alias("top_id"), F.count_distinct("id").alias("ids"))
+    named = companies.agg(F.max("id").alias("top_company"), F.count_distinct("name").alias("names"))
+    # One row each.
+    return totals.withColumns({c: t.select(c).scalar() for t in (ids, named) for c in t.columns})
+
+
 def running_sightings(spark, sf):
     root = new_path(spark, "running")
     incremental.write_running(_landed_stream(spark, sf), root, new_path(spark, "running-state")).awaitTermination()
@@ -703,5 +734,7 @@ QUERIES: dict[str, Query] = {
     "scan_twice": scan_twice,
     "scan_ledger": scan_ledger,
     "incremental_scan": incremental_scan,
+    "stream_ledger": stream_ledger,
+    "stream_scans": stream_scans,
     "running_sightings": running_sightings,
 }

@@ -582,6 +582,14 @@ union all select 'bad', 0, 0, 0, true""",
     "scan_ledger": SCAN_SCORED,
     "incremental_scan": f"""with {SIGHTINGS}, {FOLD} select source, source_id, seen_count, {iso('first_seen_at')} as first_seen_at,
   {iso('last_seen_at')} as last_seen_at, first_pos, last_pos, title, match_score from fold""",
+    "stream_ledger": f"""with {SIGHTINGS.replace("from events)", "from events where user_id % 37 <> 36)")}, {FOLD}
+select source, source_id, company, title, {iso('first_seen_at')} as first_seen_at, {iso('last_seen_at')} as last_seen_at,
+  seen_count, 'new' as status, cast(0 as double) as match_score from fold""",
+    "stream_scans": f"""with {SIGHTINGS.replace("from events)", "from events where user_id % 37 <> 36)")},
+n as (select count(distinct (source, source_id)) as k, count(distinct company) as c from sightings)
+select source, 3 as scans, 3 as closed, count(*) as found_count, count(distinct source_id) as new_count,
+  count(*) - count(distinct source_id) as updated_count, any_value(k) as top_id, any_value(k) as ids,
+  any_value(c) as top_company, any_value(c) as names from sightings, n group by source""",
     "running_sightings": f"""with {SIGHTINGS}, {FOLD} select source, source_id, seen_count, {iso('first_seen_at')} as first_seen_at,
   {iso('last_seen_at')} as last_seen_at, title from fold""",
 }

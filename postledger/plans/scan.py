@@ -35,6 +35,16 @@ def _profile(settings: ScanSettings) -> DataFrame | None:
     return build_profiles(settings.cv.withColumn("required", required))
 
 
+def settled_profile(settings: ScanSettings) -> DataFrame | None:
+    profile = _profile(settings)
+    return None if profile is None else cut(profile, "profile")
+
+
+def scored_postings(postings: DataFrame, settings: ScanSettings, profile: DataFrame | None) -> DataFrame:
+    """What a scan keeps of a source's postings, scored."""
+    return score_postings(exclude_companies(postings, settings.excluded_companies), profile)
+
+
 def fetch_postings(
     spark: SparkSession, sources: list[Source], settings: ScanSettings, workers: int = 2
 ) -> tuple[DataFrame | None, dict[str, str]]:
@@ -46,16 +56,13 @@ def fetch_postings(
     scheduling a slow one does not hold up the rest.
     """
     shared_folder(spark)  # settled before threads ask for it
-    profile = _profile(settings)
-    if profile is not None:
-        profile = cut(profile, "profile")
+    profile = settled_profile(settings)
 
     def fetch(order: int, source: Source) -> tuple[DataFrame | None, str | None]:
         spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"source-{order}")
         try:
-            postings = exclude_companies(load_source(spark, source), settings.excluded_companies)
-            scored = score_postings(postings, profile).withColumn("source_order", F.lit(order))
-            return cut(scored, f"fetch-{order}"), None
+            scored = scored_postings(load_source(spark, source), settings, profile)
+            return cut(scored.withColumn("source_order", F.lit(order)), f"fetch-{order}"), None
         except Exception as error:  # any failure of a source is recorded and the scan goes on
             return None, str(error).split("\n")[0]
 
@@ -124,7 +131,7 @@ def run_scan(
             paths = {part["path"] for part in opening}
             parts = [part for part in manifest if part["path"] not in paths]
             if batch is not None:
-                parts, counts = _merged(spark, root, parts, sightings, settings.buckets)
+                parts, counts = merged_parts(spark, root, parts, sightings, settings.buckets)
             now = finished_ts or datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S")
             log = scan_rows(opened, counts, F.lit(now).cast("timestamp_ntz"))
             return parts + state.write_part(root, "scans", log.coalesce(1))
@@ -135,7 +142,7 @@ def run_scan(
     return summary.orderBy("source_order").select("source", *zeros, "error")
 
 
-def _merged(
+def merged_parts(
     spark: SparkSession, root: str, parts: list[dict], sightings: DataFrame, buckets: int
 ) -> tuple[list[dict], DataFrame]:
     """The parts after an upsert of the sightings, and its counts per source."""
