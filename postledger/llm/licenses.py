@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 # The characters between words, the phrases, and the templates.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -29,7 +31,18 @@ TEMPLATES = {
     "bsd": ["redistribution and use in source and binary forms with or without modification are permitted"],
 }
 THRESHOLD = 80  # per cent of a template's words that a block must hold
-BLOCK, STRIDE = 32, 16  # words; no template is longer than STRIDE + 1
+STRIDE = 16  # words between the blocks of the shortest templates; a block has twice as many
+
+
+def stride_of(words: int, threshold: int = THRESHOLD) -> int:
+    """The distance of the blocks for a template of so many words, a power of two.
+
+    Long templates get room for a passage with as many foreign words as the threshold
+    lets differ.
+    """
+    if words <= STRIDE + 1:
+        return STRIDE
+    return 1 << (-(-100 * words // max(threshold, 1)) - 2).bit_length()
 
 
 def words_of(text: Column) -> Column:
@@ -38,14 +51,14 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(lower, GAP), lambda w: w != "")
 
 
-def template_rows(spark: SparkSession, templates: dict[str, list[str]] = TEMPLATES, threshold: int = THRESHOLD) -> DataFrame:
-    """``template, label, tokens, size, need``; ``need`` words must be shared."""
+def template_rows(templates: dict[str, list[str]] = TEMPLATES, threshold: int = THRESHOLD) -> list[tuple]:
+    """``template, label, tokens, need, stride``; ``need`` different words must be shared."""
     rows = []
     for label, texts in templates.items():
         for text in texts:
             tokens = sorted(set(text.split()))
-            rows.append((len(rows), label, tokens, len(tokens), -(-threshold * len(tokens) // 100)))
-    return spark.createDataFrame(rows, "template int, label string, tokens array<string>, size int, need int")
+            rows.append((len(rows), label, tokens, -(-threshold * len(tokens) // 100), stride_of(len(text.split()), threshold)))
+    return rows
 
 
 def token_ranks(words: DataFrame, vocabulary: list[str]) -> list[str]:
@@ -58,8 +71,11 @@ def token_ranks(words: DataFrame, vocabulary: list[str]) -> list[str]:
 def matched_templates(words: DataFrame, keys: list[str], templates: dict[str, list[str]] = TEMPLATES, threshold: int = THRESHOLD) -> DataFrame:
     """``keys, label, score``: every (row, label) with a block that holds a template.
 
-    Blocks are windows of ``BLOCK`` words at every ``STRIDE`` words, so any passage of
-    STRIDE + 1 words lies whole in one. Let r be the words shared by a block and a
+    Blocks are windows of 2 s words at every s words, so any passage of s + 1 words
+    lies whole in one; s follows the length of the template (:func:`stride_of`), and the
+    templates of one s share their blocks. What is found is thus every passage of up to
+    s + 1 words, wherever it begins; a longer one that is spread over more words is found
+    where a block holds enough of it. Let r be the words shared by a block and a
     template of m distinct words; the block meets the template when
     100 r >= threshold m. Words are put in one global order, rarest first. A match
     must hold one of the first m - need + 1 words of the template (prefix filter),
@@ -68,21 +84,34 @@ def matched_templates(words: DataFrame, keys: list[str], templates: dict[str, li
     template words, can share at most 1 + min(m - i - 1, k) (positional filter).
     What is left is counted exactly.
     """
-    spark = words.sparkSession
-    vocabulary = sorted({w for texts in templates.values() for t in texts for w in t.split()})
+    rows = template_rows(templates, threshold)
+    vocabulary = sorted({w for row in rows for w in row[2]})
     order = token_ranks(words, vocabulary)
+    found = [
+        _matched_at(words, keys, order, [row for row in rows if row[4] == stride], stride)
+        for stride in sorted({row[4] for row in rows})
+    ]
+    if not found:
+        return words.limit(0).select(*keys, F.lit("").alias("label"), F.lit(0.0).alias("score"))
+    return reduce(DataFrame.unionByName, found).groupBy(*keys, "label").agg(F.max("score").alias("score"))
+
+
+def _matched_at(words: DataFrame, keys: list[str], order: list[str], rows: list[tuple], stride: int) -> DataFrame:
+    """``keys, label, score`` of every match of templates whose blocks stand ``stride`` words apart."""
     rank = {w: i for i, w in enumerate(order)}
     ranked = F.array(*[F.lit(w) for w in order])
     table = []
-    for r in template_rows(spark, templates, threshold).collect():
-        ranks = sorted(rank[w] for w in r["tokens"])
-        table += [(p, i, r["template"], r["label"], ranks, r["size"], r["need"]) for i, p in enumerate(ranks[: r["size"] - r["need"] + 1])]
+    for template, label, tokens, need, _ in rows:
+        ranks = sorted(rank[w] for w in tokens)
+        table += [(p, i, template, label, ranks, len(ranks), need) for i, p in enumerate(ranks[: len(ranks) - need + 1])]
     # As long as the list of templates, whatever the documents.
-    prefixes = F.broadcast(spark.createDataFrame(table, "token int, at int, template int, label string, ranks array<int>, size int, need int"))
+    columns = "token int, at int, template int, label string, ranks array<int>, size int, need int"
+    prefixes = F.broadcast(words.sparkSession.createDataFrame(table, columns))
     rare = F.array(*[F.lit(order[p]) for p in sorted({row[0] for row in table})])
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - stride - 1, F.lit(0)), F.lit(stride))
     blocks = (
         words.where(F.arrays_overlap("words", rare))
-        .select(*keys, F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - STRIDE - 1, F.lit(0)), F.lit(STRIDE)), lambda i: F.slice("words", i + 1, BLOCK))).alias("block"))
+        .select(*keys, F.explode(F.transform(starts, lambda i: F.slice("words", i + 1, 2 * stride))).alias("block"))
         .where(F.arrays_overlap("block", rare))
         .select(*keys, F.size(F.array_distinct("block")).alias("length"), F.array_intersect(ranked, "block").alias("shared"))
         # array_intersect keeps the order of the ranked list: rarest first.
@@ -96,7 +125,7 @@ def matched_templates(words: DataFrame, keys: list[str], templates: dict[str, li
         .withColumn("common", F.size(F.array_intersect("shared", "ranks")))
         .where("common >= need")
     )
-    return pairs.groupBy(*keys, "label").agg(F.max(F.col("common") / F.col("size")).alias("score"))
+    return pairs.select(*keys, "label", (F.col("common") / F.col("size")).alias("score"))
 
 
 def places(line: Column, phrase: str) -> Column:

@@ -92,7 +92,7 @@ def test_language_score_does_not_depend_on_batches(spark):
     assert one == many
 
 
-def plain_licenses(text):
+def plain_licenses(text, known=licenses.TEMPLATES):
     text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)
     places = defaultdict(list)
@@ -102,11 +102,12 @@ def plain_licenses(text):
     starts = sorted(s for v in places.values() for s in v)
     labels = {k for k, v in places.items() if v}
     score = 0.0
-    for label, templates in licenses.TEMPLATES.items():
+    for label, templates in known.items():
         for t in templates:
             need = set(t.split())
-            for i in range(0, max(len(ws) - licenses.STRIDE - 1, 0) + 1, licenses.STRIDE):
-                share = len(need & set(ws[i : i + licenses.BLOCK]))
+            stride = licenses.stride_of(len(t.split()))
+            for i in range(0, max(len(ws) - stride - 1, 0) + 1, stride):
+                share = len(need & set(ws[i : i + 2 * stride]))
                 if 100 * share >= licenses.THRESHOLD * len(need):
                     labels.add(label)
                     score = max(score, share / len(need))
@@ -126,8 +127,26 @@ def test_licenses_equal_brute_force(spark):
     assert licenses.scan_licenses(frame(spark, [])).count() == 0
 
 
-def test_templates_fit_the_blocks():
-    assert max(len(t.split()) for ts in licenses.TEMPLATES.values() for t in ts) <= licenses.STRIDE + 1
+def test_long_templates_are_found_at_every_offset(spark):
+    """Templates of 36 and 500 words, with a fifth of their words replaced, wherever they begin."""
+    rng = random.Random(4)
+    pool = [f"w{i}" for i in range(400)]
+    long = {"x": [" ".join(rng.sample(pool, 36))], "y": [" ".join(rng.choice(pool) for _ in range(500))], **licenses.TEMPLATES}
+    rows = []
+    for label in "xy":
+        template = long[label][0].split()
+        need = len(set(template)) - len(set(template)) // 5
+        for offset in [*range(0, 40), 63, 64, 65, 511, 1023, 1500]:
+            gone = set(rng.sample(sorted(set(template)), len(set(template)) - need))
+            passage = ["other" if w in gone else w for w in template]
+            rows.append((len(rows), " ".join(["a"] * offset + passage + ["b"] * rng.randrange(1200))))
+    planted = len(rows)
+    rows += [(planted + i, " ".join(rng.choice(pool) for _ in range(rng.randrange(700)))) for i in range(30)]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), templates=long).collect()
+    assert Counter(map(tuple, got)) == Counter((i, *plain_licenses(t, long)) for i, t in rows)
+    found = {r.doc_id: r.labels.split(",") for r in got}
+    assert all(("x" if i < planted // 2 else "y") in found[i] for i in range(planted))
+    assert licenses.scan_licenses(spark.createDataFrame(rows[:1], "doc_id long, text string"), templates={}).first().labels == ""
 
 
 def plain_groups(rows):
