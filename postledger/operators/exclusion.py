@@ -14,6 +14,10 @@ WORD_KEYWORD = "intern"
 WORD_PATTERN = r"(?U)\bintern(?:s|ship)?\b"
 
 
+# Letters of the pieces by which a table of fragments meets companies.
+GRAM = 3
+
+
 def _any(conditions: list[Column]) -> Column:
     return reduce(lambda left, right: left | right, conditions, F.lit(False))
 
@@ -49,25 +53,43 @@ def exclude_companies_by_table(
 ) -> DataFrame:
     """The same for a table of fragments (column ``fragment``).
 
-    The table is compared with the distinct companies only, as an equi-join of
-    fragments with the substrings of the company keys that have the length of some
-    fragment; nothing is compared pair by pair and no table is broadcast for its
-    assumed size.
+    The table is compared with the distinct companies only. A fragment of GRAM
+    letters or more meets the companies that hold the one of its grams which the
+    fewest companies hold, and is then looked for in them; a shorter one meets the
+    pieces of its own length. The work thus follows the lengths of the texts, however
+    many lengths of fragments there are. NULL companies and empty fragments match
+    nothing; no table is broadcast for its assumed size.
     """
     keys = fragments.select(match_key(F.col("fragment")).alias("fragment")).where("fragment <> ''").distinct()
     companies = postings.select(F.col(column).alias("_name")).distinct().withColumn("_key", match_key(F.col("_name")))
-    lengths = keys.agg(F.collect_set(F.length("fragment")).alias("lengths")).scalar()
-    pieces = (
-        companies.withColumn("_size", F.explode(lengths))
-        .where(F.col("_size") <= F.length("_key"))
-        .withColumn("_start", F.explode(F.sequence(F.lit(1), F.length("_key") - F.col("_size") + 1)))
-        .select("_name", F.substring(F.col("_key"), F.col("_start"), F.col("_size")).alias("fragment"))
-        .distinct()
+    whole = keys.where(F.length("fragment") >= GRAM)
+    grams = companies.select("_name", "_key", F.explode(_pieces(F.col("_key"), GRAM)).alias("_gram"))
+    held = grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_held"))
+    # A gram that no company holds comes first: such a fragment meets nothing.
+    rarest = (
+        whole.select("fragment", F.explode(_pieces(F.col("fragment"), GRAM)).alias("_gram"))
+        .join(held, "_gram", "left")
+        .groupBy("fragment")
+        .agg(F.min(F.struct(F.coalesce("_held", F.lit(0)).alias("n"), "_gram")).alias("_rare"))
+        .select("fragment", F.col("_rare._gram").alias("_gram"))
+    )
+    found = grams.join(rarest, "_gram").where(F.contains("_key", "fragment")).select("_name")
+    sizes = F.array(*[F.lit(n) for n in range(1, GRAM)])
+    pieces = companies.select(
+        "_name", F.explode(F.flatten(F.transform(sizes, lambda n: _pieces(F.col("_key"), n)))).alias("fragment")
     )
-    excluded = pieces.join(keys, "fragment", "left_semi").select("_name").distinct()
+    short = pieces.join(keys.where(F.length("fragment") < GRAM), "fragment", "left_semi").select("_name")
+    excluded = found.unionByName(short).distinct()
     return postings.join(excluded, postings[column] == excluded["_name"], "left_anti")
 
 
+def _pieces(text: Column, size: int | Column) -> Column:
+    """The different pieces of so many letters; none of a shorter text."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
+    pieces = F.array_distinct(F.transform(places, lambda i: F.substring(text, i, size)))
+    return F.when(F.length(text) >= size, pieces).otherwise(F.array().cast("array<string>"))
+
+
 def title_excluded(title: Column, keywords: list[str]) -> Column:
     """Plain form: the lower-case title contains a keyword, spaces included."""
     text = F.lower(title)
