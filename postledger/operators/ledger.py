@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from postledger.functions.text import display_company
 from postledger.operators.ids import arrival_ids
 from postledger.schemas import COMPANIES, JOBS, JOB_DEFAULTS, conform
-from postledger.shared import SMALL_ROWS, cut
+from postledger.shared import HEAVY_SHARE, SMALL_ROWS, cut
 
 KEY = ["source", "source_id"]
 
@@ -23,6 +23,11 @@ ATTRIBUTES = [
     "match_score", "matched_keywords", "missing_keywords", "raw",
 ]
 
+BUCKET = T.StructField("bucket", T.IntegerType())
+
+# Attributes that may be as long as a document.
+LONG = ["description", "raw"]
+
 
 def _present(df: DataFrame, names: list[str]) -> list[str]:
     return [name for name in names if name in df.columns]
@@ -36,7 +41,7 @@ def fold_sightings(batch: DataFrame) -> DataFrame:
     as one row.
     """
     latest = F.struct("seen_at", "pos")
-    attributes = F.struct(*_present(batch, ATTRIBUTES))
+    attributes = F.struct(*_present(batch, [*ATTRIBUTES, "row"]))
     folded = batch.groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("seen_count"),
         F.min(latest).alias("_first"),
@@ -170,15 +175,97 @@ def _fits(fold: DataFrame) -> bool:
     return rows <= SMALL_ROWS and total <= SMALL_TEXT
 
 
+def _with_texts(rows: DataFrame, fold: DataFrame, texts: DataFrame, bucket: Column) -> DataFrame:
+    """Rows, each of one key and named by ``row``, with their long attributes, gathered by bucket.
+
+    The texts move once: rows and texts meet by ``row`` inside the bucket they are written
+    to, which is dealt over more tasks for each SMALL_ROWS keys it gets. Of a key with many
+    sightings, only the text that stays leaves its task.
+    """
+    n, keys, buckets = fold.agg(F.sum("seen_count"), F.count(F.lit(1)), F.count_distinct(bucket)).first()
+    # Fewer than HEAVY_SHARE keys.
+    heavy = fold.where(F.col("seen_count") * HEAVY_SHARE > (n or 0)).select(*[F.col(k).alias(f"_{k}") for k in KEY], F.col("row").alias("_stays"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEY]
+    texts = texts.join(F.broadcast(heavy), same, "left").where("_stays is null or _stays = row")
+    slot = F.pmod(F.xxhash64("row"), F.lit(1 + (keys or 0) // (max(buckets or 0, 1) * SMALL_ROWS)))
+    place = ["bucket", "slot"]
+    texts = texts.select(bucket.alias("bucket"), slot.alias("slot"), "row", *_present(texts, LONG)).repartition(*place)
+    rows = rows.withColumns({"bucket": bucket, "slot": slot}).repartition(*place)
+    return rows.join(texts, [*place, "row"]).drop("slot", "row")
+
+
+def _merge_small(jobs: DataFrame, named: DataFrame, top_id: int, bucket: Column, texts: None) -> tuple[DataFrame, DataFrame]:
+    """The touched jobs after a fold that is broadcast, and the ids of its new keys."""
+    known = cut(jobs.select(*KEY).join(F.broadcast(named.select(*KEY)), KEY, "left_semi"), "known")
+    fresh = named.join(known, KEY, "left_anti")
+    ids = arrival_ids(fresh.select(*KEY, "first_seen_at", "first_pos"), ["first_seen_at", "first_pos"], top_id)
+    ids = ids.select(*KEY, "id")
+    inserted = upsert_folds(jobs.limit(0), fresh).drop("id").join(ids, KEY)
+    kept = upsert_folds(jobs, F.broadcast(named.join(known, KEY, "left_semi")), "left")
+    kept, inserted = (conform(part, JOBS).withColumn("bucket", bucket) for part in (kept, inserted))
+    # New rows are gathered by bucket; stored ones are, as they have not moved.
+    return kept.unionByName(inserted.hint("rebalance", "bucket")), ids
+
+
+def _merge_large(jobs: DataFrame, named: DataFrame, top_id: int, bucket: Column, texts: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The touched jobs after a fold of any size, and the ids of its new keys."""
+    given = {*named.columns, *(_present(texts, LONG) if texts is not None else [])}
+    counted = ["first_seen_at", "last_seen_at", "last_pos", "seen_count"]
+    # What a fold does not tell stays as it is stored.
+    stays = [name for name in jobs.columns if name not in given]
+    old = jobs.select(*KEY, *[F.col(name).alias(f"old_{name}") for name in [*counted, *stays]])
+    met = named.join(old, KEY, "left")
+    has_old = F.col("old_seen_count").isNotNull()
+    newer = ~has_old | (
+        F.struct(F.col("last_seen_at").alias("t"), F.col("last_pos").alias("p"))
+        >= F.struct(F.col("old_last_seen_at").alias("t"), F.coalesce(F.col("old_last_pos"), F.lit(-1)).alias("p"))
+    )
+    met = met.select(
+        *[name for name in named.columns if name not in ("seen_count", "first_seen_at")],
+        *[F.col(f"old_{name}").alias(name) for name in stays if name != "status"],
+        F.coalesce("old_status", F.lit("new")).alias("status"),
+        (F.col("seen_count") + F.coalesce("old_seen_count", F.lit(0))).alias("seen_count"),
+        F.least("first_seen_at", "old_first_seen_at").alias("first_seen_at"),
+        has_old.alias("known"),
+        newer.alias("newer"),
+    )
+    met = cut(met, "met")
+    fresh = met.where("not known").select(*KEY, "first_seen_at", "first_pos")
+    ids = arrival_ids(fresh, ["first_seen_at", "first_pos"], top_id).select(*KEY, "id")
+    numbered = met.where("not known").drop("id").join(ids, KEY)
+    rows = met.where("known and newer").unionByName(numbered)
+    if texts is None:
+        rows = rows.withColumn("bucket", bucket).hint("rebalance", "bucket")
+    else:
+        rows = _with_texts(rows, named, texts, bucket)
+    rows = conform(rows.drop("first_pos"), T.StructType([*JOBS.fields, BUCKET]))
+    if jobs.count() > met.where("known and newer").count():
+        later = met.select(*KEY, "newer", F.col("seen_count").alias("_seen"), F.col("first_seen_at").alias("_first"))
+        kept = jobs.join(later, KEY, "left").where("newer is null or not newer")
+        kept = kept.withColumns({"seen_count": F.coalesce("_seen", "seen_count"), "first_seen_at": F.coalesce("_first", "first_seen_at")})
+        rows = rows.unionByName(conform(kept, JOBS).withColumn("bucket", bucket).hint("rebalance", "bucket"))
+    return rows, ids
+
+
 def upsert_buckets(
-    stored: Callable[[list[int]], DataFrame], companies: DataFrame, batch: DataFrame, top_id: int, bucket: Column
+    stored: Callable[[list[int]], DataFrame],
+    companies: DataFrame,
+    batch: DataFrame,
+    top_id: int,
+    bucket: Column,
+    texts: DataFrame | None = None,
 ) -> BucketUpsert:
     """Fold a batch into the buckets of the jobs table that its keys fall into.
 
     ``stored`` reads the jobs of some buckets, ``bucket`` is the bucket of a key and
     ``top_id`` the largest id in use. A fold of checked size is broadcast, so stored
-    rows stay in the tasks that read them; a larger one meets them by shuffle and the
-    result is gathered by bucket. Results are those of :func:`upsert_postings`.
+    rows stay in the tasks that read them. A larger one meets the short columns of the
+    stored rows by shuffle; whole stored rows are moved only if some keep their attributes,
+    that is if they are not in the batch or were seen after it. Results are those of
+    :func:`upsert_postings`.
+
+    The long attributes may come apart from the batch: then ``texts`` has them with
+    the key and ``row``, which names a row of both. It must give the same rows whenever read.
     """
     start = companies.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     fresh_names = company_names(batch).join(companies.select("name"), "name", "left_anti")
@@ -186,26 +273,14 @@ def upsert_buckets(
     numbers = companies.unionByName(added).select(F.col("name").alias("company"), F.col("id").alias("company_id"))
     fold = fold_sightings(batch.withColumn("company", display_company(F.col("company"))))
     named = cut(fold.join(numbers, "company", "left").drop("company"), "fold")
+    if texts is not None and named.count() <= SMALL_ROWS:
+        named = cut(texts.select("row", *_present(texts, LONG)).join(F.broadcast(named), "row").drop("row"), "fold-texts")
+        texts = None
     # No more numbers than buckets.
     touched = sorted(r[0] for r in named.select(bucket.alias("b")).distinct().collect())
     jobs = conform(stored(touched), JOBS, JOB_DEFAULTS)
-    small = _fits(named)
-
-    keys = named.select(*KEY)
-    known = jobs.select(*KEY)
-    if small:
-        known = known.join(F.broadcast(keys), KEY, "left_semi")
-    known = cut(known.join(keys, KEY, "left_semi") if not small else known, "known")
-    fresh = named.join(known, KEY, "left_anti")
-    ids = arrival_ids(fresh.select(*KEY, "first_seen_at", "first_pos"), ["first_seen_at", "first_pos"], top_id)
-    ids = ids.select(*KEY, "id")
-    inserted = upsert_folds(jobs.limit(0), fresh).drop("id").join(ids, KEY)
-    met = named.join(known, KEY, "left_semi")
-    kept = upsert_folds(jobs, F.broadcast(met) if small else met, "left")
-    kept, inserted = (conform(part, JOBS).withColumn("bucket", bucket) for part in (kept, inserted))
-    # New rows are gathered by bucket; stored ones are, if they have not moved.
-    kept = kept if small else kept.hint("rebalance", "bucket")
-    rows = kept.unionByName(inserted.hint("rebalance", "bucket"))
+    merge = _merge_small if texts is None and _fits(named) else _merge_large
+    rows, ids = merge(jobs, named, top_id, bucket, texts)
     found = batch.groupBy("source").agg(F.count(F.lit(1)).alias("found_count"))
     new = ids.groupBy("source").agg(F.count(F.lit(1)).alias("new_count"))
     counts = found.join(new, "source", "left").fillna(0, ["new_count"])

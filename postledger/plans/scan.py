@@ -5,12 +5,13 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postledger.operators.exclusion import exclude_companies
-from postledger.operators.ledger import upsert_buckets
+from postledger.operators.ledger import KEY, LONG, upsert_buckets
 from postledger.operators.matching import build_profiles, score_postings
 from postledger.operators.scans import scan_rows
 from postledger.shared import cut, shared_folder
@@ -48,34 +49,46 @@ def scored_postings(postings: DataFrame, settings: ScanSettings, profile: DataFr
 def fetch_postings(
     spark: SparkSession, sources: list[Source], settings: ScanSettings, workers: int = 2
 ) -> tuple[DataFrame | None, dict[str, str]]:
-    """Scored postings of all sources that could be read, and the errors of the rest.
+    """Scored postings of all sources that could be read, and the errors of the rest."""
+    batch, texts, errors = fetch_parts(spark, sources, settings, workers)
+    return (None if batch is None else batch.join(texts.select("row", *LONG), "row").drop("row")), errors
+
+
+def fetch_parts(
+    spark: SparkSession, sources: list[Source], settings: ScanSettings, workers: int = 2
+) -> tuple[DataFrame | None, DataFrame | None, dict[str, str]]:
+    """Scored postings of all sources that could be read, their texts, and the errors of the rest.
 
     Each source is settled on its own, so a broken one cannot fail the others;
-    filtering and scoring run in the tasks that read it. Up to ``workers`` sources
+    filtering and scoring run in the tasks that read it. The long attributes are not
+    written a second time: ``texts`` has them, read from where the source lies settled,
+    with the key and ``row``, the number of the posting over all sources. Up to ``workers`` sources
     are read side by side, each in a scheduler pool of its own, so that under FAIR
     scheduling a slow one does not hold up the rest.
     """
     shared_folder(spark)  # settled before threads ask for it
     profile = settled_profile(settings)
 
-    def fetch(order: int, source: Source) -> tuple[DataFrame | None, str | None]:
+    def fetch(order: int, source: Source) -> tuple[tuple[DataFrame, DataFrame] | None, str | None]:
         spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"source-{order}")
         try:
-            scored = scored_postings(load_source(spark, source), settings, profile)
-            return cut(scored.withColumn("source_order", F.lit(order)), f"fetch-{order}"), None
+            # Arrival order over all sources: source by source, then as read.
+            row = F.shiftleft(F.lit(order).cast("bigint"), 52) + F.col("pos")
+            loaded = load_source(spark, source)
+            scored = scored_postings(loaded, settings, profile).withColumns({"source_order": F.lit(order), "row": row})
+            texts = loaded.select(*KEY, row.alias("row"), *LONG)
+            return (cut(scored.drop(*LONG), f"fetch-{order}"), texts), None
         except Exception as error:  # any failure of a source is recorded and the scan goes on
             return None, str(error).split("\n")[0]
 
     with ThreadPoolExecutor(max_workers=max(1, min(workers, len(sources)))) as threads:
         running = [threads.submit(inheritable_thread_target(spark)(fetch), i, s) for i, s in enumerate(sources)]
         done = [future.result() for future in running]
-    batch, errors = None, {}
-    for source, (scored, error) in zip(sources, done):
-        if scored is None:
-            errors[source.name] = error
-        else:
-            batch = scored if batch is None else batch.unionByName(scored)
-    return batch, errors
+    fetched = [found for found, _ in done if found is not None]
+    errors = {source.name: error for source, (found, error) in zip(sources, done) if found is None}
+    if not fetched:
+        return None, None, errors
+    return *(reduce(DataFrame.unionByName, rows) for rows in zip(*fetched)), errors
 
 
 def run_scan(
@@ -110,7 +123,7 @@ def run_scan(
         opening = state.write_part(root, "scans", waiting.coalesce(1), state.OPEN)
         state.commit_changes(spark, root, lambda manifest: manifest + opening, buckets=settings.buckets)
 
-    batch, errors = fetch_postings(spark, chosen, settings, workers)
+    batch, texts, errors = fetch_parts(spark, chosen, settings, workers)
     failed = spark.createDataFrame([(s.name, errors.get(s.name)) for s in chosen], "source string, error string")
     opened = order.join(failed, "source").withColumn("started_at", started)
     counts = order.select("source").withColumns(zeros).limit(0)
@@ -121,17 +134,14 @@ def run_scan(
 
     if not dry_run:
         if batch is not None:
-            # Arrival order over all sources: source by source, then as read.
-            sightings = batch.withColumn("seen_at", started).withColumn(
-                "pos", F.shiftleft(F.col("source_order").cast("bigint"), 52) + F.col("pos")
-            )
+            sightings = batch.withColumns({"seen_at": started, "pos": F.col("row")})
 
         def close(manifest: list[dict]) -> list[dict]:
             nonlocal counts
             paths = {part["path"] for part in opening}
             parts = [part for part in manifest if part["path"] not in paths]
             if batch is not None:
-                parts, counts = merged_parts(spark, root, parts, sightings, settings.buckets)
+                parts, counts = merged_parts(spark, root, parts, sightings, settings.buckets, texts)
             now = finished_ts or datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S")
             log = scan_rows(opened, counts, F.lit(now).cast("timestamp_ntz"))
             return parts + state.write_part(root, "scans", log.coalesce(1))
@@ -143,7 +153,7 @@ def run_scan(
 
 
 def merged_parts(
-    spark: SparkSession, root: str, parts: list[dict], sightings: DataFrame, buckets: int
+    spark: SparkSession, root: str, parts: list[dict], sightings: DataFrame, buckets: int, texts: DataFrame | None = None
 ) -> tuple[list[dict], DataFrame]:
     """The parts after an upsert of the sightings, and its counts per source."""
     jobs = [part for part in parts if part["tbl"] == "jobs"]
@@ -154,6 +164,7 @@ def merged_parts(
         sightings,
         max((part["top"] for part in jobs), default=0),
         state.bucket_of(buckets),
+        texts,
     )
     rewritten = set(result.buckets)
     parts = [part for part in parts if part["tbl"] != "jobs" or part["bucket"] not in rewritten]

@@ -28,7 +28,7 @@ def with_row_numbers(rows: DataFrame, settled: bool = False) -> DataFrame:
     lie written already. The table of shifts has one row per file block, not per row.
     """
     if not settled:
-        rows = cut(rows, "landed")
+        rows = cut(rows, "landed", compression="zstd")
     blocks = rows.groupBy("_file", "_block").agg(F.min("_m").alias("_first"), F.count(F.lit(1)).alias("_n"))
     in_file = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     in_all = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -93,21 +93,23 @@ def read_landing(spark: SparkSession, paths: list[str], multi_line: bool = True)
     for files in groups.values():
         rows = _csv_reader(spark, multi_line).csv([file for _, file, _ in files])
         cells = sorted(name for name in rows.columns if name)
-        raw = F.to_json(F.struct(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in cells]))
+        # The cells are written once, by their place; raw is made of them when it is read.
+        place = {name: f"c{i}" for i, name in enumerate(rows.columns)}
+        raw = F.to_json(F.struct(*[F.coalesce(F.col(place[c]), F.lit("")).alias(c) for c in cells]))
         named = [
-            F.col(f"`{name}`") if name in rows.columns else F.lit(None).cast("string").alias(name)
+            (F.col(place[name]) if name in place else F.lit(None).cast("string")).alias(name)
             for name in [*LANDING_COLUMNS, "easy_apply"]
         ]
         order = spark.createDataFrame(files, "file_order int, _file string, path string")
         parts.append(
             rows.select(
-                *named,
-                raw.alias("raw"),
+                *[F.col(f"`{name}`").alias(place[name]) for name in rows.columns if name],
                 F.col("_metadata.file_path").alias("_file"),
                 F.col("_metadata.file_block_start").alias("_block"),
                 F.monotonically_increasing_id().alias("_m"),
             )
             .transform(with_row_numbers)
+            .select(*named, raw.alias("raw"), "_file", "row_no")
             # One row per file.
             .join(F.broadcast(order), "_file")
             .select(*LANDING_COLUMNS, "easy_apply", "raw", "path", "file_order", "row_no", "_file")

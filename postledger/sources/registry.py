@@ -59,7 +59,8 @@ def _feed(spark: SparkSession, source: Source) -> DataFrame:
 
 
 # The source types by name. Further types are added here as
-# functions of session and source that return postings.
+# functions of session and source that return postings made of settled rows: they are
+# read again for the long attributes.
 LOADERS: dict[str, Callable[[SparkSession, Source], DataFrame]] = {
     "csv": _csv,
     "remotive": _json,
