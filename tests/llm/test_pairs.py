@@ -7,6 +7,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
 
@@ -204,6 +205,49 @@ def test_repeated_passages(spark):
     assert windows.repeated_passages(frame(spark, [])).count() == 0
 
 
+def _led_by_a_stranger(seed):
+    """Texts whose common passage has signatures only in a line of 45 words that the first text has too."""
+    line, own = words(f"line{seed}", 45, 10_000), words(f"own{seed}", 7, 10_000)
+    fill = lambda s, n: words(f"{s}{seed}", n, 10_000)
+    stranger = line + fill("a", 30)
+    return [stranger, fill("b", 30) + line + own + fill("c", 30), fill("d", 40) + line + own + fill("e", 20), stranger + line + own + fill("f", 9)]
+
+
+def _signatures(text):
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([" ".join(text)])], ["doc_id", "text"])
+    return {r["key"] for b in windows._windows(iter([batch])) for r in b.to_pylist()}
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_passages_of_members_that_a_stranger_leads(spark, monkeypatch, few):
+    monkeypatch.setattr(windows, "FEW_PAIRS", few)
+    seed = next(s for s in range(500) if _signatures(_led_by_a_stranger(s)[1]) & _signatures(_led_by_a_stranger(s)[2]) <= _signatures(_led_by_a_stranger(s)[0]))
+    stranger, one, two, both = (" ".join(t) for t in _led_by_a_stranger(seed))
+    of = lambda rows: {(r["doc_id"], r["start_word"], r["end_word"], r["group_id"], r["n_docs"]) for r in windows.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert of([(1, stranger), (2, one), (3, two)]) == {(2, 30, 82, 2, 2), (3, 40, 92, 2, 2)}
+    # Strangers alone have nothing in common but the line.
+    assert of([(i, " ".join(stranger.split()[:45] + words(f"s{i}", 30, 10_000))) for i in range(1, 30)]) == set()
+    # The leader's first place of the line is not the one that holds the passage.
+    assert of([(1, both), (3, two)]) == {(1, 75, 127, 1, 2), (3, 40, 92, 1, 2)}
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_passages_equal_brute_force_over_words(spark, monkeypatch, few):
+    monkeypatch.setattr(windows, "FEW_PAIRS", few)
+    rng = random.Random(11)
+    line, rows = words("line", 40, 10_000), []
+    for f in range(12):
+        own = words(f"own{f}", rng.randrange(4, 20), 10_000)
+        for m in range(rng.randrange(1, 4)):
+            rows.append(words(f"a{f}-{m}", 30, 10_000) + line + own[: rng.randrange(1, 25)] + words(f"b{f}-{m}", 25, 10_000))
+    grams = [{tuple(w[i : i + 50]) for i in range(len(w) - 49)} for w in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if grams[a] & grams[b]]
+    expected = {n: r for n, r in roots(range(len(rows)), links).items() if any(n in p for p in links)}
+    got = windows.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")).collect()
+    found = {r["doc_id"]: r["group_id"] for r in got}
+    assert expected and all(n in found for n in expected) and all(found[a] == found[b] for a, b in links)
+
+
 def test_every_exact_passage_is_found(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     seen = {}
