@@ -47,10 +47,12 @@ def scored_postings(postings: DataFrame, settings: ScanSettings, profile: DataFr
 
 
 def fetch_postings(
-    spark: SparkSession, sources: list[Source], settings: ScanSettings, workers: int = 2
-) -> tuple[DataFrame | None, dict[str, str]]:
-    """Scored postings of all sources that could be read, and the errors of the rest."""
+    spark: SparkSession, sources: list[Source], settings: ScanSettings, workers: int = 2, apart: bool = False
+) -> tuple:
+    """Scored postings of all sources that could be read, and the errors of the rest; texts ``apart`` as of fetch_parts."""
     batch, texts, errors = fetch_parts(spark, sources, settings, workers)
+    if apart:
+        return batch, texts, errors
     return (None if batch is None else batch.join(texts.select("row", *LONG), "row").drop("row")), errors
 
 
@@ -123,7 +125,7 @@ def run_scan(
         opening = state.write_part(root, "scans", waiting.coalesce(1), state.OPEN)
         state.commit_changes(spark, root, lambda manifest: manifest + opening, buckets=settings.buckets)
 
-    batch, texts, errors = fetch_parts(spark, chosen, settings, workers)
+    batch, texts, errors = fetch_postings(spark, chosen, settings, workers, True)
     failed = spark.createDataFrame([(s.name, errors.get(s.name)) for s in chosen], "source string, error string")
     opened = order.join(failed, "source").withColumn("started_at", started)
     counts = order.select("source").withColumns(zeros).limit(0)
